@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
 from matchloom.operators.bitemporal import as_known_at
+from matchloom.operators.nested import flatten_records
+from matchloom.operators.profile import column_profile, coverage_drift, expression_coverage, induce_expressions, ledger_errors, value_counts
 from matchloom.operators.timestamps import normalise_times
-from matchloom.session import table
+from matchloom.session import materialise, table
+from matchloom.sources.drift import explode_fields, fingerprints, schema_changes, unify
 
 UTC_SECONDS = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
 
@@ -33,6 +38,96 @@ def p2_rated(spark: SparkSession, d: str) -> DataFrame:
     return rated_matches(spark, d).select("match_id", "player_id", "rating_pre_raw", F.col("value").cast("bigint").alias("rating_known"))
 
 
+LOADED = ("matches_raw", "players_raw")
+
+
+def load_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Value counts of both loaded tables, by load. A load's prefix is the part of the
+    file name that the ledger names: feed and calendar month."""
+    load = F.regexp_extract("filename", r"^([^/]*/[^/]*/\d{4}-\d{2})", 1)
+    parts = [value_counts(table(spark, d, v), v, load, ["filename"]) for v in LOADED]
+    return parts[0].unionByName(parts[1])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    ledger = table(spark, d, "missingness_ledger")
+    profile = column_profile(load_counts(spark, d), ledger)
+    return ledger_errors(profile, ledger).select("view_name", "load_prefix", "column_name").distinct()
+
+
+def p3_profile(spark: SparkSession, d: str) -> DataFrame:
+    return column_profile(load_counts(spark, d), table(spark, d, "missingness_ledger"))
+
+
+def p3_expressions(spark: SparkSession, d: str) -> DataFrame:
+    """The expressions that describe each column."""
+    return induce_expressions(load_counts(spark, d))[0]
+
+
+def p3_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Change of expression coverage between successive loads of each feed."""
+    counts = materialise(load_counts(spark, d), "value-counts")
+    coverage = expression_coverage(counts, induce_expressions(counts)[1])
+    return coverage_drift(coverage, F.regexp_extract("load_prefix", r"^([^/]*/[^/]*)/", 1))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return schema_changes(explode_fields(table(spark, d, "raw_records"))).select("filename", "change", "field", "new_field").distinct()
+
+
+def p4_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Each file's schema version."""
+    return fingerprints(explode_fields(table(spark, d, "raw_records")))
+
+
+def _unified(spark: SparkSession, d: str, source: str, target: str) -> DataFrame:
+    fields = explode_fields(table(spark, d, "raw_records").where(F.col("filename").startswith(source + "/")))
+    schema = T.StructType([f for f in table(spark, d, target).schema if f.name != "filename"])
+    return unify(fields, schema_changes(fields), schema).drop("extra")
+
+
+def p4_matches(spark: SparkSession, d: str) -> DataFrame:
+    """All match records under the fields that matches_raw has."""
+    return _unified(spark, d, "matches", "matches_raw")
+
+
+def p4_players(spark: SparkSession, d: str) -> DataFrame:
+    return _unified(spark, d, "players", "players_raw")
+
+
+def unit_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every unit of every event, with the unit that holds it."""
+    return flatten_records(
+        table(spark, d, "tracker_events_raw"), "event_data", keep=["filename", "loop", "evtTypeName"], key="tag",
+        entities=["unit", "units", "cargo"], embedded=["payload"], inherit=["controlPlayerId", "owner.playerID"],
+    ).where(F.col("entity").isin("unit", "units", "cargo"))
+
+
+def replay_players(spark: SparkSession, d: str) -> DataFrame:
+    """The players of every replay, from any layout of the player map."""
+    rows = flatten_records(table(spark, d, "replays_meta_raw"), "ToonPlayerDescMap", keep=["filename"], key="toon", entry=r"^\d+-S\d+-\d+-\d+$").where("node > 0")
+    f = lambda name: F.coalesce(F.col("fields")[name], F.col("fields")["profile." + name]).alias(name)
+    return rows.select("filename", F.col("key").alias("toon_id"), f("nickname"), f("playerID").try_cast("int").alias("playerID"), f("race"), f("result"), f("region"), f("highestLeague"), f("clanTag"), f("APM").try_cast("int").alias("APM"), f("MMR").try_cast("int").alias("MMR"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    held = unit_rows(spark, d).where("entity = 'cargo' and parent_entity in ('unit', 'units', 'cargo')")
+    player = F.coalesce(F.col("root")["controlPlayerId"], F.col("root")["owner.playerID"]).try_cast("int")
+    held = held.select("filename", player.alias("playerID"), F.col("parent_key").try_cast("bigint").alias("parent_tag"), F.col("key").try_cast("bigint").alias("child_tag"))
+    held = held.where("parent_tag is not null and child_tag is not null")
+    players = replay_players(spark, d).select("filename", "playerID", "toon_id").where("toon_id is not null").distinct()
+    return held.join(players, ["filename", "playerID"]).select("filename", "toon_id", "parent_tag", "child_tag").distinct()
+
+
+def p6_units(spark: SparkSession, d: str) -> DataFrame:
+    f = F.col("fields")
+    return unit_rows(spark, d).select("filename", "loop", "evtTypeName", "path", "node", "parent", F.col("key").alias("tag"), F.col("parent_key").alias("parent_tag"), f["type"].alias("type"), f["pos.x"].try_cast("int").alias("x"), f["pos.y"].try_cast("int").alias("y"))
+
+
+def p6_players(spark: SparkSession, d: str) -> DataFrame:
+    return replay_players(spark, d)
+
+
 def start_instants(spark: SparkSession, d: str) -> DataFrame:
     """(match_id, side of the comparison, instant) of every row of both match tables."""
     zones = table(spark, d, "server_zones").groupBy("server").agg(F.min("zone_name").alias("zone"))
@@ -56,4 +151,4 @@ def p5_instants(spark: SparkSession, d: str) -> DataFrame:
     return start_instants(spark, d).select("match_id", "source", "text", F.unix_micros("instant").alias("instant_us"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_rated": p2_rated, "p5_found": p5_found, "p5_instants": p5_instants}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rated, p3_found, p3_profile, p3_expressions, p3_drift, p4_found, p4_versions, p4_matches, p4_players, p5_found, p5_instants, p6_found, p6_units, p6_players)}
