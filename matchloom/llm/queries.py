@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.llm.leaks import find_leaks
 from matchloom.llm.names import account_pairs, link_accounts
 from matchloom.llm.ranking import luce_strengths
 from matchloom.session import table
@@ -45,4 +46,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a").alias("toon_id_a"), F.col("b").alias("toon_id_b"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_strengths, p7_found, p7_people)}
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with passages of evaluation items, and how much of them."""
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_strengths, p7_found, p7_people, p9_found, p9_leaks)}
