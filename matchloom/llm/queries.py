@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.leaks import find_leaks
 from matchloom.llm.names import account_pairs, link_accounts
+from matchloom.llm.reading import reading_levels
 from matchloom.llm.ranking import luce_strengths
 from matchloom.session import table
 
@@ -55,4 +56,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_strengths, p7_found, p7_people, p9_found, p9_leaks)}
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Difficulty and reading level of every English document."""
+    docs = table(spark, d, "documents").where("lang = 'en'")
+    return reading_levels(docs, table(spark, d, "reading_labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_levels(spark, d).where("level = 5").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_strengths, p7_found, p7_people, p9_found, p9_leaks, p10_found, p10_levels)}
