@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.leaks import find_leaks
 from matchloom.llm.names import account_pairs, link_accounts
+from matchloom.llm.packing import pack, token_counts
 from matchloom.llm.reading import reading_levels
 from matchloom.llm.ranking import luce_strengths
 from matchloom.session import table
@@ -47,6 +48,21 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a").alias("toon_id_a"), F.col("b").alias("toon_id_b"))
 
 
+#: Tokens that a container holds.
+CAPACITY = 2_048
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's place: container, and the part of the document if it was cut."""
+    return pack(token_counts(table(spark, d, "documents")), CAPACITY)
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every container's load."""
+    p = p8_pack(spark, d).where("container is not null")
+    return p.groupBy("container").agg(F.count("*").alias("n_pieces"), F.sum("size").alias("n_tokens")).withColumn("unused", CAPACITY - F.col("n_tokens"))
+
+
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Documents with passages of evaluation items, and how much of them."""
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -66,4 +82,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_levels(spark, d).where("level = 5").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_strengths, p7_found, p7_people, p9_found, p9_leaks, p10_found, p10_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_strengths, p7_found, p7_people, p8_pack, p8_containers, p9_found, p9_leaks, p10_found, p10_levels)}
