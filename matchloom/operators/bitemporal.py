@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 FOREVER = 1 << 62
 DAY = 86_400_000_000
 #: Versions per grid cell that the grid aims at within a strip.
-PER_CELL = 4
+PER_CELL = 16
 
 _RECT = "entity string, strip bigint, cells int, valid_from bigint, valid_to bigint, known_from bigint, known_to bigint, value double"
 
@@ -34,22 +34,23 @@ def _cells(versions: int) -> int:
     return 1 << max(0, (versions // PER_CELL).bit_length())
 
 
-def _sweep(width: int):
+def _sweep(width: int, diagonal: bool):
     """Cuts each strip's plane into rectangles, going through it by recorded time.
 
     The state is the strip's known versions in the order of valid time, each with the
     recorded time from which its current rectangle is open. A newly recorded version
     closes its predecessor's rectangle (which goes on as a narrower one) or, if it
     restates the same valid time, replaces it. That is at most two rectangles a
-    version."""
+    version. With `diagonal`, points have known = valid + 1: rectangles are cut down to
+    what the diagonal can touch, and those off it are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         key, own, at, val, opened = None, 0, [], [], []
 
         def emit(i: int, until: int, cells: int, lo: int, hi: int) -> None:
-            a = max(at[i], lo)
-            b = min(at[i + 1] if i + 1 < len(at) else hi, hi, until)  # points lie at known > valid
+            a = max(at[i], lo, opened[i] - 1) if diagonal else max(at[i], lo)
+            b = min(at[i + 1] if i + 1 < len(at) else hi, hi, until - 1)  # points lie at known > valid
             if a < b and opened[i] < until:
                 out.append((key[0], key[1], cells, a, b, opened[i], until, val[i]))
 
@@ -101,7 +102,7 @@ def _sweep(width: int):
     return run
 
 
-def current_rectangles(versions: DataFrame, strips: DataFrame, width: int) -> DataFrame:
+def current_rectangles(versions: DataFrame, strips: DataFrame, width: int, diagonal: bool = False) -> DataFrame:
     """Disjoint rectangles of `versions` (entity, valid, known, value) in valid and
     recorded time, both half open, within strips of `width` microseconds. `strips`
     (entity, strip) lists the strips that will be asked for."""
@@ -123,7 +124,7 @@ def current_rectangles(versions: DataFrame, strips: DataFrame, width: int) -> Da
     )
     rows = own.unionByName(late).unionByName(base)
     rows = rows.repartition("entity", "strip").sortWithinPartitions("entity", "strip", "known", "valid", "value")
-    return rows.mapInArrow(_sweep(width), _RECT)
+    return rows.mapInArrow(_sweep(width, diagonal), _RECT)
 
 
 def as_known_at(
@@ -150,7 +151,7 @@ def as_known_at(
     `points` may have any names but `out`, which is replaced."""
     width = strip_days * DAY
     name = F.when(F.array_contains(F.array(*[F.col(e).isNull() for e in entity]), True), F.lit(None)).otherwise(F.concat_ws("\x1f", *[F.col(e).cast("string") for e in entity]))
-    vs = versions.select(name.alias("entity"), F.unix_micros(valid).alias("valid"), F.greatest(F.unix_micros(known), F.unix_micros(valid)).alias("known"), value.cast("double").alias("value"))
+    vs = versions.select(name.alias("entity"), F.unix_micros(valid).alias("valid"), F.greatest(F.unix_micros(known), F.unix_micros(valid) + 1).alias("known"), value.cast("double").alias("value"))
     vs = vs.where("entity is not null and valid is not null and known is not null and value is not null")
     columns = [c for c in points.columns if c != out]
     ps = points.select(
@@ -159,7 +160,7 @@ def as_known_at(
         (F.unix_micros(at) - 1).alias("t"),  # strictly before: valid <= at - 1
         F.unix_micros(at if known_at is None else known_at).alias("tau"),
     ).withColumn("strip", F.floor(F.col("t") / F.lit(width)))
-    rects = current_rectangles(vs, ps.where("entity is not null and strip is not null"), width)
+    rects = current_rectangles(vs, ps.where("entity is not null and strip is not null"), width, known_at is None)
     # strips with many versions have a finer grid
     fine = vs.groupBy("entity", F.floor(F.col("valid") / F.lit(width)).alias("strip")).agg(F.count("*").alias("n")).where(F.col("n") >= PER_CELL)
     bits = F.length(F.bin(F.expr(f"n div {PER_CELL}")))

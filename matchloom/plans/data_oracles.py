@@ -52,7 +52,7 @@ select match_id from d group by match_id having count(*) = 2
 def oracles() -> dict[str, str]:
     return {
         "p2_found": f"select distinct match_id, player_id from ({_RATED}) where rating is not null and rating <> rating_pre_raw",
-        "p2_rated": f"select match_id, player_id, rating_pre_raw, rating as rating_known from ({_RATED})",
+        "p2_rated": f"select distinct match_id, player_id, rating_pre_raw, rating as rating_known from ({_RATED})",
         "p3_found": f"""{_profile()}
 select distinct l.view_name, l.load_prefix, l.column_name from missingness_ledger l left join p on p.view_name = l.view_name and p.load_prefix = l.load_prefix and p.column_name = l.column_name
 where abs(coalesce(100.0 * p.n_null / p.n_total, 0) - l.pct_null) > 0.01 + 1e-9 or coalesce(p.n_distinct, 0) is distinct from l.n_distinct or coalesce(p.n_sentinel, 0) is distinct from l.n_sentinel or l.pct_null is null""",

@@ -21,7 +21,7 @@ def rated_matches(spark: SparkSession, d: str) -> DataFrame:
     """Match rows with the rating that was valid, and known, when the match started."""
     started = F.col("started_timestamp")
     m = table(spark, d, "matches_long_raw").where(started.rlike(UTC_SECONDS) & F.col("rating_pre_raw").isNotNull())
-    m = m.select("match_id", "player_id", "rating_pre_raw", F.col("player_id").cast("bigint").alias("profile_id"), F.col("leaderboard_raw").cast("bigint").alias("leaderboard_id"), started.try_cast("timestamp").alias("at")).distinct()
+    m = m.select("match_id", "player_id", "rating_pre_raw", F.col("player_id").cast("bigint").alias("profile_id"), F.col("leaderboard_raw").cast("bigint").alias("leaderboard_id"), started.try_cast("timestamp").alias("at"))
     r = table(spark, d, "ratings_raw").where("rating is not null")
     day = F.regexp_extract("filename", r"(\d{4}-\d{2}-\d{2})[^/]*$", 1).try_cast("date")
     valid = F.col("date").cast("timestamp")
@@ -35,7 +35,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_rated(spark: SparkSession, d: str) -> DataFrame:
     """Every qualifying match row with its rating as known at the start."""
-    return rated_matches(spark, d).select("match_id", "player_id", "rating_pre_raw", F.col("value").cast("bigint").alias("rating_known"))
+    return rated_matches(spark, d).select("match_id", "player_id", "rating_pre_raw", F.col("value").cast("bigint").alias("rating_known")).distinct()
 
 
 LOADED = ("matches_raw", "players_raw")
