@@ -1 +1 @@
-"""Part of matchloom."""
+"""Scalar and aggregate expressions."""

@@ -44,8 +44,8 @@ def robust_summary(df: DataFrame, keys: list[str], x: Column, good: Column) -> D
     the rows for which `good` holds. Null values don't count, but as rows."""
     q = F.percentile(x, F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
     ok = F.coalesce(good, F.lit(False))
-    g = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), q.alias("q"), F.stddev_samp(x).alias("sd"), F.avg((~ok).cast("int")).alias("bad_rate"), F.avg(F.when(ok, x)).alias("mean_good"), F.median(F.when(ok, x)).alias("median_good"))
-    at = lambda i: F.col("q")[i]
+    g = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), q.alias("__q"), F.stddev_samp(x).alias("sd"), F.avg((~ok).cast("int")).alias("bad_rate"), F.avg(F.when(ok, x)).alias("mean_good"), F.median(F.when(ok, x)).alias("median_good"))
+    at = lambda i: F.col("__q")[i]
     return g.select(*keys, "n", "mean", at(2).alias("median"), at(0).alias("p5"), at(4).alias("p95"), (at(3) - at(1)).alias("iqr"), "sd", "bad_rate", "mean_good", "median_good")
 
 

@@ -1 +1 @@
-"""Part of matchloom."""
+"""Registered queries and their SQL."""

@@ -1 +1 @@
-"""Part of matchloom."""
+"""Scans, schemas, drift and sinks."""

@@ -1 +1 @@
-"""Part of matchloom."""
+"""Streaming forms of batch operators."""
