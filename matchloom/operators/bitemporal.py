@@ -20,11 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from matchloom.session import materialise
+
 #: Open end of recorded time.
 FOREVER = 1 << 62
 DAY = 86_400_000_000
 #: Versions per grid cell that the grid aims at within a strip.
 PER_CELL = 16
+#: Rows up to which the table of finer grids is broadcast; a larger one is shuffled.
+SMALL = 50_000
 
 _RECT = "entity string, strip bigint, cells int, valid_from bigint, valid_to bigint, known_from bigint, known_to bigint, value double"
 
@@ -164,7 +168,8 @@ def as_known_at(
     # strips with many versions have a finer grid
     fine = vs.groupBy("entity", F.floor(F.col("valid") / F.lit(width)).alias("strip")).agg(F.count("*").alias("n")).where(F.col("n") >= PER_CELL)
     bits = F.length(F.bin(F.expr(f"n div {PER_CELL}")))
-    fine = fine.select("entity", "strip", F.pow(F.lit(2.0), bits).cast("int").alias("cells"))
+    fine = materialise(fine.select("entity", "strip", F.pow(F.lit(2.0), bits).cast("int").alias("cells")), "fine-grids")
+    fine = F.broadcast(fine) if fine.count() <= SMALL else fine
     cell = lambda x, cells: F.floor((x - F.col("strip") * width) * cells / width).cast("int")
     ps = ps.join(fine, ["entity", "strip"], "left").withColumn("cell", cell(F.col("t"), F.coalesce("cells", F.lit(1)))).drop("cells")
     rects = rects.withColumn("cell", F.explode(F.sequence(cell(F.col("valid_from"), F.col("cells")), cell(F.col("valid_to") - 1, F.col("cells")))))
