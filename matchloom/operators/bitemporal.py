@@ -155,7 +155,7 @@ def as_known_at(
     `points` may have any names but `out`, which is replaced."""
     width = strip_days * DAY
     name = F.when(F.array_contains(F.array(*[F.col(e).isNull() for e in entity]), True), F.lit(None)).otherwise(F.concat_ws("\x1f", *[F.col(e).cast("string") for e in entity]))
-    vs = versions.select(name.alias("entity"), F.unix_micros(valid).alias("valid"), F.greatest(F.unix_micros(known), F.unix_micros(valid) + 1).alias("known"), value.cast("double").alias("value"))
+    vs = versions.select(name.alias("entity"), F.unix_micros(valid).alias("valid"), F.when(known.isNotNull(), F.greatest(F.unix_micros(known), F.unix_micros(valid) + 1)).alias("known"), value.cast("double").alias("value"))
     vs = vs.where("entity is not null and valid is not null and known is not null and value is not null")
     columns = [c for c in points.columns if c != out]
     ps = points.select(

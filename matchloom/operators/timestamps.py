@@ -47,7 +47,7 @@ def parse_instant(text: Column, zone: Column) -> Column:
     # a text with both date and zone in ISO order is cast; the zone is in the text, not in the session
     iso = F.when(t.rlike(_COMPACT), F.regexp_replace(t, _COMPACT, "$1-$2-$3T$4:$5:$6$7$8")).otherwise(F.regexp_replace(t, r"\[[^\]]*\]$", ""))
     iso = F.regexp_replace(iso, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    iso = F.when(iso.rlike(r"(Z|[+-]\d{2}:\d{2})$"), iso).otherwise(F.concat(iso, F.lit(" "), zone)).try_cast("timestamp")
+    iso = F.when(iso.rlike(r"(Z|[+-]\d{2}:\d{2})$"), iso).otherwise(F.concat(iso, F.lit(" "), F.nullif(zone, F.lit("")))).try_cast("timestamp")
     number = t.try_cast("bigint")
     epoch = F.when(F.length(t) <= 11, F.timestamp_seconds(number)).otherwise(F.timestamp_millis(number))
     mail = F.regexp_replace(F.regexp_replace(t, "^[A-Za-z]{3}, *", ""), " ?(GMT|UTC?|Z)$", " +0000")
