@@ -32,7 +32,7 @@ from matchloom.session import materialise
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZER = os.environ.get("MATCHLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Groups of large sizes; sizes above capacity / LARGE are large.
-GROUPS, LARGE = 24, 8
+GROUPS, LARGE = 96, 8
 #: Parts that the documents of one size are numbered in.
 SALTS = 64
 
@@ -83,11 +83,9 @@ def _best_configuration(value: np.ndarray, sizes: list[int], limit: list[int], c
 
 
 def optimise_configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> dict[tuple[int, ...], int]:
-    """How often to use which configuration so that all demand is met with few
-    containers: the linear programme by column generation, rounded down; what is then
-    still wanted is filled in by the most valuable configurations. Exact enough that the
-    number of containers exceeds the programme's optimum by at most the number of
-    groups."""
+    """How often to use which configuration: the optimum of the linear programme, which
+    wants the demand met with the fewest containers, by column generation, rounded down.
+    What is then still wanted is less than one container per group."""
     n = len(sizes)
     columns = [tuple(min(capacity // sizes[g], demand[g]) if k == g else 0 for k in range(n)) for g in range(n)]
     basis = np.array(columns, float).T
@@ -115,12 +113,6 @@ def optimise_configurations(sizes: list[int], demand: list[int], capacity: int,
         if times > 0:
             plan[config] += times
             left = [a - times * c for a, c in zip(left, config)]
-    price = np.array(sizes, float) / capacity
-    while any(left):  # at most about one container per group
-        _, config = _best_configuration(price, sizes, left, capacity)
-        times = max(1, min(left[g] // c for g, c in enumerate(config) if c))
-        plan[config] += times
-        left = [a - times * c for a, c in zip(left, config)]
     return dict(plan)
 
 
@@ -129,9 +121,10 @@ def pack_histogram(histogram: dict[int, int], capacity: int, groups: int = GROUP
     size, 1 to capacity. Every item is placed, none is over capacity."""
     big = [(s, histogram[s]) for s in sorted(histogram) if s * large > capacity and histogram[s]]
     total = sum(n for _, n in big)
-    # linear grouping: groups of equal cardinality, each rounded up to its largest size
-    runs: list[list[tuple[int, int]]] = []
-    if total:
+    # linear grouping: groups of equal cardinality, each rounded up to its largest size;
+    # with few sizes each is a group of its own
+    runs: list[list[tuple[int, int]]] = [[x] for x in big] if len(big) <= groups else []
+    if total and not runs:
         each, room = -(-total // groups), 0
         for s, n in big:
             while n:
@@ -141,6 +134,7 @@ def pack_histogram(histogram: dict[int, int], capacity: int, groups: int = GROUP
                 k = min(n, room)
                 runs[-1].append((s, k))
                 n, room = n - k, room - k
+    if total:
         merged: dict[int, list[tuple[int, int]]] = {}
         for r in runs:
             merged.setdefault(r[-1][0], []).extend(r)
@@ -175,7 +169,12 @@ def pack_histogram(histogram: dict[int, int], capacity: int, groups: int = GROUP
                     queue[t] = [x for x in queue[t] if x[1]]
                 classes[tuple(sorted(content.items()))] += step
                 times -= step
-    # best fit, from the largest small size down, into the fullest containers that have room
+    # best fit of the rest, from the largest size down, into the fullest containers that have room
+    rest = Counter({s: n for s, n in histogram.items() if s * large <= capacity and n})
+    if total:
+        for q in queue.values():
+            for s, n in q:
+                rest[s] += n
     by_room: dict[int, Counter] = defaultdict(Counter)
     for content, times in classes.items():
         by_room[capacity - sum(s * n for s, n in content)][content] += times
@@ -189,8 +188,8 @@ def pack_histogram(histogram: dict[int, int], capacity: int, groups: int = GROUP
                 rooms.insert(i, room)
         by_room[room][content] += times
 
-    for s in sorted((s for s in histogram if s * large <= capacity and histogram[s]), reverse=True):
-        n = histogram[s]
+    for s in sorted(rest, reverse=True):
+        n = rest[s]
         while n:
             i = bisect_left(rooms, s)
             while i < len(rooms) and not by_room[rooms[i]]:
