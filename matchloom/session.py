@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,16 +25,32 @@ def build_session(app: str = "matchloom", master: str | None = None, **conf: str
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.compression.codec": "zstd",
     }
-    return builder.config(map=defaults | conf).getOrCreate()
+    return prepare(builder.config(map=defaults | conf).getOrCreate())
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin what results depend on. Timestamps without a zone mean UTC everywhere."""
+    """Pin what results depend on, and see that Python workers can import the package.
+    Timestamps without a zone mean UTC everywhere."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    _ship(spark)
     return spark
 
 
+def _ship(spark: SparkSession) -> None:
+    """Hand this package to the executors, once an application: they need not have it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_matchloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="matchloom-")) / "matchloom.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._matchloom_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. It is read from the session; only a local
     master without the setting gets a temporary folder of its own."""
