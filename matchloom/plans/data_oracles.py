@@ -1,5 +1,7 @@
 """SQL that a plain SQL engine runs over the same tables, for the queries that it can express."""
 
+from __future__ import annotations
+
 _VERSIONS = """
 select profile_id, leaderboard_id, rating, date as v,
   case when fd > date::date then fd::timestamp else date end as k
@@ -29,23 +31,38 @@ p as (select c.view_name, c.load_prefix, c.column_name, count(*) as n_total, cou
 """
 
 
-_SHAPES = r"""
-case
- when t ~ '\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?(\[.*\])?' then
-   try_strptime(replace(substr(t, 1, 19), 'T', ' '), '%Y-%m-%d %H:%M:%S')
- when t ~ '\d{8}T\d{6}Z' then try_strptime(t, '%Y%m%dT%H%M%SZ')
- when t ~ '\d{10}' then make_timestamp(t::bigint * 1000000)
- when t ~ '\d{13}' then make_timestamp(t::bigint * 1000)
- when t ~ '[A-Z][a-z]{2}, \d{2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}' then try_strptime(substr(t, 6, 20), '%d %b %Y %H:%M:%S')
- when t ~ '\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}' then try_strptime(t, '%m/%d/%Y %H:%M:%S')
- when t ~ '\d{2}\.\d{2}\.\d{4} \d{2}:\d{2}:\d{2}' then try_strptime(t, '%d.%m.%Y %H:%M:%S')
- when t ~ '\d{2}\.\d{2}\.\d{4} \d{2}:\d{2}' then try_strptime(t, '%d.%m.%Y %H:%M')
- when t ~ '[A-Z][a-z]{2} \d{2}, \d{4} \d{1,2}:\d{2}:\d{2} [AP]M' then try_strptime(t, '%b %d, %Y %I:%M:%S %p')
+def _instant(text: str, zone: str) -> str:
+    """SQL for the microseconds since 1970 that a text in one of the tables' notations denotes."""
+    t = text
+    full = lambda p: f"regexp_full_match({t}, '{p}')"
+    sign = f"(case when regexp_extract({t}, '([+-])\\d{{2}}:?\\d{{2}}(\\[.*)?$', 1) = '-' then -1 else 1 end)"
+    shift = f"({sign} * (regexp_extract({t}, '[+-](\\d{{2}}):?\\d{{2}}(\\[.*)?$', 1)::bigint * 3600 + regexp_extract({t}, '[+-]\\d{{2}}:?(\\d{{2}})(\\[.*)?$', 1)::bigint * 60) * 1000000)"
+    fraction = f"coalesce((rpad(nullif(regexp_extract({t}, ':\\d{{2}}\\.(\\d+)', 1), ''), 6, '0'))::bigint, 0)"
+    at = lambda x: f"epoch_us({x})"
+    iso = at(f"try_strptime(replace(substr({t}, 1, 19), 'T', ' '), '%Y-%m-%d %H:%M:%S')")
+    mail = at(f"try_strptime(substr({t}, 6, 20), '%d %b %Y %H:%M:%S')")
+    # a wall time that occurs twice: an hour before the instant found, the clock shows the same
+    twice = lambda x: f"timezone({zone}, timezone({zone}, {x}) - interval 1 hour) = {x}"
+    wall = lambda x: f"(case when {zone} is not null then epoch_us(timezone({zone}, {x})) - case when {twice(x)} then 3600000000 else 0 end end)"
+    date = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?"
+    return f"""case
+ when {full(date + 'Z')} then {iso} + {fraction}
+ when {full(date + r'[+-]\d{2}:?\d{2}(\[.*\])?')} then {iso} + {fraction} - {shift}
+ when {full(date)} then {wall(f"try_strptime(replace(substr({t}, 1, 19), 'T', ' '), '%Y-%m-%d %H:%M:%S')")} + {fraction}
+ when {full(r'\d{8}T\d{6}Z')} then {at(f"try_strptime({t}, '%Y%m%dT%H%M%SZ')")}
+ when {full(r'\d{10}')} then try_cast({t} as bigint) * 1000000
+ when {full(r'\d{13}')} then try_cast({t} as bigint) * 1000
+ when {full(r'[A-Z][a-z]{2}, \d{2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}')} then {mail} - {shift}
+ when {full(r'\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}')} then {wall(f"try_strptime({t}, '%m/%d/%Y %H:%M:%S')")}
+ when {full(r'\d{2}\.\d{2}\.\d{4} \d{2}:\d{2}:\d{2}')} then {wall(f"try_strptime({t}, '%d.%m.%Y %H:%M:%S')")}
+ when {full(r'\d{2}\.\d{2}\.\d{4} \d{2}:\d{2}')} then {wall(f"try_strptime({t}, '%d.%m.%Y %H:%M')")}
+ when {full(r'[A-Z][a-z]{2} \d{2}, \d{4} \d{1,2}:\d{2}:\d{2} [AP]M')} then {wall(f"try_strptime({t}, '%b %d, %Y %I:%M:%S %p')")}
 end"""
 
-_DUEL = """
-with d as (select distinct * from matches_long_raw where leaderboard_raw = 3)
-select match_id from d group by match_id having count(*) = 2
+
+_STARTS = f"""
+with r as (select matchId as match_id, 'matches_raw' as source, started as text, {_instant('started', 'zone_name')} as us from matches_raw left join (select server, min(zone_name) as zone_name from server_zones group by 1) using (server)
+union all select match_id, 'matches_long_raw', started_timestamp, {_instant('started_timestamp', "'UTC'")} from matches_long_raw)
 """
 
 
@@ -53,6 +70,10 @@ def oracles() -> dict[str, str]:
     return {
         "p2_found": f"select distinct match_id, player_id from ({_RATED}) where rating is not null and rating <> rating_pre_raw",
         "p2_rated": f"select distinct match_id, player_id, rating_pre_raw, rating as rating_known from ({_RATED})",
+        "p5_instants": f"{_STARTS} select match_id, source, text, us as instant_us from r",
+        "p5_found": f"""{_STARTS}, m as (select match_id, min(us) filter (where source = 'matches_raw') as a0, max(us) filter (where source = 'matches_raw') as a1, min(us) filter (where source <> 'matches_raw') as b0, max(us) filter (where source <> 'matches_raw') as b1 from r where match_id is not null group by 1)
+select match_id from m where a0 is not null and b0 is not null and greatest(a1 - b0, b1 - a0) >= 60000000""",
+        "p3_profile": f"""{_profile()} select view_name, load_prefix, column_name, n_total, n_null, n_distinct, n_sentinel, round(100.0 * n_null / n_total, 6) as pct_null from p""",
         "p3_found": f"""{_profile()}
 select distinct l.view_name, l.load_prefix, l.column_name from missingness_ledger l left join p on p.view_name = l.view_name and p.load_prefix = l.load_prefix and p.column_name = l.column_name
 where abs(coalesce(100.0 * p.n_null / p.n_total, 0) - l.pct_null) > 0.01 + 1e-9 or coalesce(p.n_distinct, 0) is distinct from l.n_distinct or coalesce(p.n_sentinel, 0) is distinct from l.n_sentinel or l.pct_null is null""",

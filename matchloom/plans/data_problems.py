@@ -56,7 +56,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_profile(spark: SparkSession, d: str) -> DataFrame:
-    return column_profile(load_counts(spark, d), table(spark, d, "missingness_ledger"))
+    p = column_profile(load_counts(spark, d), table(spark, d, "missingness_ledger"))
+    return p.select("view_name", "load_prefix", "column_name", "n_total", "n_null", "n_distinct", "n_sentinel", F.round("pct_null", 6).alias("pct_null"))
+
+
+def p3_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Value ranges and lengths of every column of every load."""
+    return column_profile(load_counts(spark, d))
 
 
 def p3_expressions(spark: SparkSession, d: str) -> DataFrame:
@@ -151,4 +157,4 @@ def p5_instants(spark: SparkSession, d: str) -> DataFrame:
     return start_instants(spark, d).select("match_id", "source", "text", F.unix_micros("instant").alias("instant_us"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rated, p3_found, p3_profile, p3_expressions, p3_drift, p4_found, p4_versions, p4_matches, p4_players, p5_found, p5_instants, p6_found, p6_units, p6_players)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rated, p3_found, p3_profile, p3_ranges, p3_expressions, p3_drift, p4_found, p4_versions, p4_matches, p4_players, p5_found, p5_instants, p6_found, p6_units, p6_players)}
