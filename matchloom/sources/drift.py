@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from matchloom.session import materialise
+
 #: Lines that a file repeats from the end of the one before it.
 SHARED = 2
 
@@ -73,7 +75,8 @@ def schema_changes(fields: DataFrame) -> DataFrame:
             F.array(*[F.coalesce(line(F.col("hi") - SHARED + 1 + i), F.lit("")) for i in range(SHARED)]).alias("tail"),
         )
     )
-    by = by.join(files.select("filename", "prev", "next"), "filename")
+    # a line per file and field is all that the comparison needs: the records are parsed twice, not once per branch
+    by = materialise(by.join(files.select("filename", "prev", "next"), "filename"), "file-fields")
     old = by.where("next is not null").select("dir", F.col("next").alias("filename"), "field", F.col("type").alias("t0"), F.col("tail").alias("v0"), F.lit(1).alias("o"))
     new = by.where("prev is not null").select("dir", "filename", "field", F.col("type").alias("t1"), F.col("head").alias("v1"), F.lit(1).alias("n"))
     both = old.join(new, ["dir", "filename", "field"], "full")
