@@ -403,9 +403,9 @@ def scalar_json(t: Tables):
     return t.events.select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"), F.array_join(F.json_object_keys("props"), ",").alias("keys"))
 
 
-@query("""select vec_id, len(embedding) as n, round(list_sum(embedding[1:4])::double, 4) as s4, i as pos from (select *, unnest(generate_series(1, 2)) as i from embeddings)""")
+@query("""select vec_id, len(embedding) as n, round(embedding[1]::double + embedding[2]::double + embedding[3]::double + embedding[4]::double, 4) + 0.0 as s4, i as pos from (select *, unnest(generate_series(1, 2)) as i from embeddings)""")
 def scalar_arrays(t: Tables):
-    e = t.embeddings.select("vec_id", F.size("embedding").alias("n"), F.round(F.aggregate(F.slice("embedding", 1, 4), F.lit(0.0), lambda a, x: a + x), 4).alias("s4"), F.posexplode(F.slice("embedding", 1, 2)).alias("p", "x"))
+    e = t.embeddings.select("vec_id", F.size("embedding").alias("n"), (F.round(F.aggregate(F.slice("embedding", 1, 4), F.lit(0.0), lambda a, x: a + x), 4) + F.lit(0.0)).alias("s4"), F.posexplode(F.slice("embedding", 1, 2)).alias("p", "x"))
     return e.select("vec_id", "n", "s4", (F.col("p") + 1).cast("bigint").alias("pos"))
 
 

@@ -24,7 +24,7 @@ def _cell(x):
     if isinstance(x, bool) or type(x).__name__ == "bool_":
         return str(bool(x))
     if isinstance(x, (int, float)) or hasattr(x, "dtype"):
-        return round(float(x), 6)
+        return round(float(x), 6) + 0.0
     return str(x)
 
 
