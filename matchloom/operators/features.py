@@ -20,34 +20,54 @@ def micros(at: str) -> Column:
     return F.unix_micros(F.col(at).cast("timestamp"))
 
 
-def strictly_before(keys: list[str | Column], at: str):
-    """The window of a key's rows strictly earlier than the row."""
-    return Window.partitionBy(*keys).orderBy(micros(at)).rangeBetween(Window.unboundedPreceding, -1)
-
-
-def history_features(df: DataFrame, entity: str, at: str, won: str, by: list[str] = ()) -> DataFrame:
+def _prior(df: DataFrame, keys: list[Column], at: str, hit: Column, tag: str, cell_days: float) -> DataFrame:
+    """df with __n_<tag>, __w_<tag>, __m_<tag>, __t_<tag>: of the rows of the same keys
+    strictly earlier, how many, how many hits, how many with a known outcome, and the
+    latest time.
+
+    Windows run within (keys, cell of time), so that a hot key is many tasks' work; what
+    earlier cells hold comes from an aggregate with one row per cell. Window and join
+    share one partitioning."""
+    names = [f"__k{i}" for i in range(len(keys))]
+    d = df.withColumns({n: F.coalesce(k.cast("string"), F.lit("\x00")) for n, k in zip(names, keys)} | {"__t": micros(at), "__h": hit.cast("int")})
+    d = d.withColumn("__c", F.floor(F.col("__t") / int(cell_days * 86_400_000_000)))
+    cells = d.where("__t is not null").groupBy(*names, "__c").agg(F.count("*").alias("n"), F.sum("__h").alias("w"), F.count("__h").alias("m"), F.max("__t").alias("l"))
+    before = Window.partitionBy(*names).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    carry = cells.select(*names, "__c", *[F.sum(x).over(before).alias(f"__{x}") for x in "nwm"], F.max("l").over(before).alias("__l"))
+    w = Window.partitionBy(*names, "__c").orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({"__in": F.count("*").over(w), "__iw": F.sum("__h").over(w), "__im": F.count("__h").over(w), "__il": F.max("__t").over(w)})
+    d = d.join(carry, [*names, "__c"], "left")
+    plus = lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+    out = {f"__n_{tag}": plus("__in", "__n"), f"__w_{tag}": plus("__iw", "__w"), f"__m_{tag}": plus("__im", "__m"), f"__t_{tag}": F.greatest("__il", "__l")}
+    return d.withColumns(out).drop(*names, "__t", "__h", "__c", "__in", "__iw", "__im", "__il", "__n", "__w", "__m", "__l")
+
+
+def _rate(tag: str) -> Column:
+    return F.col(f"__w_{tag}") / F.nullif(F.col(f"__m_{tag}"), F.lit(0))
+
+
+def history_features(df: DataFrame, entity: str, at: str, won: str, by: list[str] = (), cell_days: float = 28) -> DataFrame:
     """df with n_prior, prior_win_rate, days_since_prior, and for each column c of `by`
-    n_prior_<c>, prior_win_rate_<c> (history with the same value of c). A row without
-    time has null features, one without history count 0 and null rates."""
-    hit, t = F.col(won).cast("int"), micros(at)
-    past = Window.partitionBy(entity).orderBy(t).rangeBetween(Window.unboundedPreceding, -1)
-    known = lambda c: F.when(t.isNotNull(), c)
-    out = df.withColumns({"n_prior": known(F.count("*").over(past)), "prior_win_rate": known(F.avg(hit).over(past)), "days_since_prior": known((t - F.max(t).over(past)) / 86_400e6)})
-    for c in by:
-        w = Window.partitionBy(entity, c).orderBy(t).rangeBetween(Window.unboundedPreceding, -1)
-        out = out.withColumns({f"n_prior_{c}": known(F.count("*").over(w)), f"prior_win_rate_{c}": known(F.avg(hit).over(w))})
-    return out
-
-
-def head_to_head(df: DataFrame, side: str, opponent: str, at: str, won: str) -> DataFrame:
+    n_prior_<c>, prior_win_rate_<c> (history with the same value of c, null being a
+    value). A row without time or entity has null features, one without history count 0
+    and null rates. Outcomes that are null count as rows, not in rates."""
+    known = lambda c: F.when(F.col(at).isNotNull() & F.col(entity).isNotNull(), c)
+    out = _prior(df, [F.col(entity)], at, F.col(won), "e", cell_days)
+    new = {"n_prior": known(F.col("__n_e")), "prior_win_rate": known(_rate("e")), "days_since_prior": known((micros(at) - F.col("__t_e")) / 86_400e6)}
+    for i, c in enumerate(by):
+        out = _prior(out, [F.col(entity), F.col(c)], at, F.col(won), f"b{i}", cell_days)
+        new |= {f"n_prior_{c}": known(F.col(f"__n_b{i}")), f"prior_win_rate_{c}": known(_rate(f"b{i}"))}
+    return out.withColumns(new).drop(*[f"__{x}_{t}" for x in "nwmt" for t in ("e", *[f"b{i}" for i in range(len(by))])])
+
+
+def head_to_head(df: DataFrame, side: str, opponent: str, at: str, won: str, cell_days: float = 28) -> DataFrame:
     """df with n_meetings and meeting_win_rate: earlier meetings of the same two, from
-    the row's side. One window over the unordered pair; wins are counted for its
-    smaller member and turned round for the other."""
+    the row's side. In a symmetric view a row's own side stands for the meeting, so a
+    meeting counts once; null sides have null features."""
     low = F.col(side) < F.col(opponent)
-    low_won = F.when(low, F.col(won).cast("int")).otherwise(1 - F.col(won).cast("int"))
-    w = Window.partitionBy(pair_key(F.col(side), F.col(opponent)), low).orderBy(micros(at)).rangeBetween(Window.unboundedPreceding, -1)
-    out = df.withColumn("n_meetings", F.count("*").over(w)).withColumn("__r", F.avg(low_won).over(w))
-    return out.withColumn("meeting_win_rate", F.when(low, F.col("__r")).otherwise(1 - F.col("__r"))).drop("__r")
+    out = _prior(df, [pair_key(F.col(side), F.col(opponent)), low], at, F.col(won), "p", cell_days)
+    known = lambda c: F.when(F.col(at).isNotNull() & low.isNotNull(), c)
+    return out.withColumns({"n_meetings": known(F.col("__n_p")), "meeting_win_rate": known(_rate("p"))}).drop(*[f"__{x}_p" for x in "nwmt"])
 
 
 def cold_start(df: DataFrame, n_prior: str, least: int) -> DataFrame:

@@ -58,27 +58,38 @@ def dense_grid(df: DataFrame, a: str, b: str) -> DataFrame:
     return grid.join(have, [a, b], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: str, left_at: str, right_at: str, value: str, direction: str = "backward", out: str = "asof_value") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: str, left_at: str, right_at: str, value: str, direction: str = "backward", out: str = "asof_value", cell_days: float = 28) -> DataFrame:
     """`left` with the value of the nearest right row: at or before (backward), or
     strictly after (forward). Of right rows at the same time the larger value counts.
 
-    One union, one shuffle by key and one running window: no range join, whose pairs
-    would be quadratic in a key's rows. Left rows without match, or with a null key or
+    No range join, whose pairs would be quadratic in a key's rows: a union with a running
+    window. Time is cut into cells, and the window runs within (key, cell), so that a hot
+    key is many tasks' work; what a cell takes over from earlier (later) ones comes from
+    an aggregate with one row per cell. Left rows without match, or with a null key or
     time, have null. A column named like `out` is replaced."""
+    if direction not in ("backward", "forward"):
+        raise ValueError(direction)
+    back, width = direction == "backward", int(cell_days * 86_400_000_000)
     columns = [c for c in left.columns if c != out]
-    r = right.where(F.col(on).isNotNull() & F.col(right_at).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(on).alias("__k"), F.col(right_at).alias("__t")).agg(F.max(value).alias("__v"))
+    t = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias("__t")
+    cell = F.floor(F.col("__t") / width)
+    r = right.where(F.col(on).isNotNull() & F.col(right_at).isNotNull() & F.col(value).isNotNull()).select(F.col(on).alias("__k"), t(right_at), F.col(value).alias("__v"))
     null_row = F.lit(None).cast(left.select(F.struct(*columns).alias("s")).schema["s"].dataType)
-    l = left.select(F.col(on).alias("__k"), F.col(left_at).alias("__t"), F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.struct(*columns).alias("__row"), F.lit(1).alias("__left"))
-    both = l.unionByName(r.select("__k", "__t", "__v", null_row.alias("__row"), F.lit(0).alias("__left")))
-    if direction == "backward":
-        w = Window.partitionBy("__k").orderBy(F.col("__t").asc(), F.col("__left").asc()).rowsBetween(Window.unboundedPreceding, 0)
-    elif direction == "forward":
-        w = Window.partitionBy("__k").orderBy(F.col("__t").desc(), F.col("__left").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    else:
-        raise ValueError(direction)
-    found = F.when(F.col("__k").isNotNull() & F.col("__t").isNotNull(), F.last("__v", ignorenulls=True).over(w))
-    both = both.withColumn("__found", found).where("__left = 1")
-    return both.select(*[F.col("__row").getField(c).alias(c) for c in columns], F.col("__found").alias(out))
+    l = left.select(F.col(on).alias("__k"), t(left_at), F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.struct(*columns).alias("__row"), F.lit(1).alias("__left"))
+    both = l.unionByName(r.select("*", null_row.alias("__row"), F.lit(0).alias("__left"))).withColumn("__c", cell)
+    # of each cell the right row nearest to the cells that follow in the direction
+    nearest = F.max(F.struct("__t", "__v"))["__v"] if back else F.max(F.struct((-F.col("__t")).alias("__t"), "__v"))["__v"]
+    over = Window.partitionBy("__k").orderBy("__c" if back else F.desc("__c"))
+    asked = l.where("__k is not null and __t is not null").select("__k", cell.alias("__c")).distinct()
+    carry = r.withColumn("__c", cell).groupBy("__k", "__c").agg(nearest.alias("__n")).unionByName(asked.withColumn("__n", F.lit(None).cast(right.schema[value].dataType)))
+    carry = carry.groupBy("__k", "__c").agg(F.max("__n").alias("__n")).withColumn("__carry", F.last("__n", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))).drop("__n")
+    # right rows at a left row's time come before it backward, and after it forward; of their ties the larger is last
+    order = [F.asc("__t"), F.asc("__left"), F.asc("__v")] if back else [F.desc("__t"), F.desc("__left"), F.asc("__v")]
+    w = Window.partitionBy("__k", "__c").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("__found", F.last("__v", ignorenulls=True).over(w)).where("__left = 1")
+    both = both.join(carry, ["__k", "__c"], "left")
+    found = F.when(F.col("__k").isNotNull() & F.col("__t").isNotNull(), F.coalesce("__found", "__carry"))
+    return both.select(*[F.col("__row").getField(c).alias(c) for c in columns], found.alias(out))
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: str, left_at: str, right_at: str, seconds: int, how: str = "inner", before: bool = False) -> DataFrame:
