@@ -90,4 +90,4 @@ def relative_name(path: Column, root: str) -> Column:
     """A path below `root`, which may come with or without a scheme."""
     plain = F.regexp_replace(path, r"^[a-z0-9]+:/+", "/")
     base = root.rstrip("/") + "/"
-    return F.when(plain.startswith(base), F.substring(plain, len(base) + 1, 10_000)).otherwise(plain)
+    return F.when(plain.startswith(base), F.substr(plain, F.lit(len(base) + 1))).otherwise(plain)

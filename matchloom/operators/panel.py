@@ -60,12 +60,21 @@ def overlap_classes(df: DataFrame, shared: str, entity: str, at: str) -> DataFra
     """shared, entity_a, entity_b, class: pairs of entities with one shared attribute,
     A: the first ended before the second began, B: they overlap, C: one lies within the
     other. For attributes that few entities share."""
-    s = df.where(F.col(shared).isNotNull() & F.col(entity).isNotNull() & F.col(at).isNotNull()).groupBy(shared, entity).agg(F.min(at).alias("s"), F.max(at).alias("e"))
-    a = s.select(shared, F.col(entity).alias("entity_a"), F.col("s").alias("s1"), F.col("e").alias("e1"))
-    b = s.select(shared, F.col(entity).alias("entity_b"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    j = a.join(b, shared).where("s1 < s2 or (s1 = s2 and entity_a < entity_b)")
-    kind = F.when(F.col("e1") < F.col("s2"), "A").when(F.col("e2") <= F.col("e1"), "C").otherwise("B")
-    return j.select(shared, "entity_a", "entity_b", kind.alias("class"))
+    s = df.where(F.col(shared).isNotNull() & F.col(entity).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(shared).alias("__k"), F.col(entity).alias("__x")).agg(F.min(at).alias("__s"), F.max(at).alias("__e"))
+    a = s.select("__k", F.col("__x").alias("__a"), F.col("__s").alias("__s1"), F.col("__e").alias("__e1"))
+    b = s.select("__k", F.col("__x").alias("__b"), F.col("__s").alias("__s2"), F.col("__e").alias("__e2"))
+    j = a.join(b, "__k").where("__s1 < __s2 or (__s1 = __s2 and __a < __b)")
+    kind = F.when(F.col("__e1") < F.col("__s2"), "A").when(F.col("__e2") <= F.col("__e1"), "C").otherwise("B")
+    return j.select(F.col("__k").alias(shared), F.col("__a").alias("entity_a"), F.col("__b").alias("entity_b"), kind.alias("class"))
+
+
+def rename_gaps(df: DataFrame, entity: str, name: str, at: str) -> DataFrame:
+    """entity, name, next_name, gap_days: successive names of an entity by first use, and
+    the time from the last use of one to the first of the next (negative: they overlap)."""
+    s = df.where(F.col(entity).isNotNull() & F.col(name).isNotNull() & F.col(at).isNotNull()).groupBy(entity, name).agg(F.min(at).alias("__s"), F.max(at).alias("__e"))
+    w = Window.partitionBy(entity).orderBy("__s", name)
+    s = s.withColumn("next_name", F.lead(name).over(w)).withColumn("__n", F.lead("__s").over(w)).where("next_name is not null")
+    return s.select(entity, name, "next_name", ((F.unix_micros(F.col("__n").cast("timestamp")) - F.unix_micros(F.col("__e").cast("timestamp"))) / 86_400e6).alias("gap_days"))
 
 
 def prior_count_shortfall(df: DataFrame, narrow: list[str], wide: list[str], at: str, cap: int) -> DataFrame:

@@ -152,6 +152,24 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return average_rank(average_rank(d, x, "__rx"), y, "__ry").agg(F.corr("__rx", "__ry").alias("rho"), F.count("*").alias("n"))
 
 
+def spearman_bootstrap(df: DataFrame, x: str, y: str, key: list[str], draws: int = 200, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """One row: rho, low, high. Rows are drawn with replacement as Poisson counts made of
+    a hash of their key and the draw; the ranks stay those of all rows. One aggregation
+    by draw, for which no row leaves its task."""
+    d = df.select(x, y, *[c for c in key if c not in (x, y)]).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    r = average_rank(average_rank(d, x, "__rx"), y, "__ry").withColumn("g", F.xxhash64(*key))
+    u = (F.pmod(F.xxhash64("g", F.lit(seed), F.col("draw")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    cuts = F.array(*[F.lit(float(c)) for c in np.cumsum([math.exp(-1) / math.factorial(i) for i in range(8)])])
+    w = r.select("g", F.col("__rx").alias("a"), F.col("__ry").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("u", u)
+    w = w.withColumn("w", F.size(F.filter(cuts, lambda c: c < F.col("u")))).where("w > 0")
+    e = F.expr
+    g = w.groupBy("draw").agg(*[F.sum(e(f"w * {t}")).alias(n) for n, t in {"n": "1D", "sa": "a", "sb": "b", "saa": "a * a", "sbb": "b * b", "sab": "a * b"}.items()])
+    g = g.select(e("(sab - sa * sb / n) / nullif(sqrt((saa - sa * sa / n) * (sbb - sb * sb / n)), 0)").alias("rho"))
+    tail = (1 - level) / 2
+    q = g.agg(F.percentile("rho", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
+    return r.agg(F.corr("__rx", "__ry").alias("rho")).crossJoin(q).select("rho", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
 def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """Confidence limits of a share."""
     p, d = hits / F.nullif(n, F.lit(0)), 1 + z * z / n

@@ -159,6 +159,27 @@ def pairs_classification(t: Tables):
     return c.groupBy("class").agg(F.count("*").alias("n_matches"))
 
 
+@query("""select cast(p.game_id as int) as match_id, m.started, p.team as side, cast(p.profile_id as bigint) as player_id, p.civ as chosen_civ, case when p.winner then 1 when not p.winner then 0 end as outcome, nullif(p.old_rating, 0) as rating_pre, m.map, m.leaderboard
+from (select distinct game_id, team, profile_id, civ, winner, old_rating from players_raw) p join (select matchId, min(started) as started, min(map) as map, min(leaderboard) as leaderboard from matches_raw group by 1) m on p.game_id = m.matchId::varchar""")
+def pairs_long_normalisation(t: Tables):
+    """One row per player and match with uniform names, from header and player tables."""
+    cols = ["game_id", "team", "profile_id", "civ", "winner", "old_rating"]
+    head = t.matches_raw.groupBy(F.col("matchId").cast("string").alias("game_id")).agg(*[F.min(c).alias(c) for c in ("started", "map", "leaderboard")])
+    j = t.players_raw.select(*cols).distinct().join(head, "game_id")
+    return j.select(F.col("game_id").cast("int").alias("match_id"), "started", F.col("team").alias("side"), F.col("profile_id").cast("bigint").alias("player_id"), F.col("civ").alias("chosen_civ"), F.col("winner").cast("int").alias("outcome"), F.nullif(F.col("old_rating"), F.lit(0)).alias("rating_pre"), "map", "leaderboard")
+
+
+@query(_VIEW + """, h as (select match_id, min(player_id) as p0, max(player_id) as p1, max(case when i = 1 then chosen_civ_or_race end) as c0, max(case when i = 2 then chosen_civ_or_race end) as c1 from (select *, row_number() over (partition by match_id order by player_id) as i from v) group by 1)
+select v.match_id, v.player_id, case when v.player_id = p0 then c0 else c1 end as civ from v join h using (match_id)""")
+def pairs_role_dependent_pick(t: Tables):
+    """The column of a wide header that belongs to the focal row."""
+    v = _view(t)
+    low = F.col("player_id") < F.col("opponent")
+    pick = lambda c, x: F.max(F.when(c, F.col(x)))
+    h = v.groupBy("match_id").agg(pick(low, "player_id").alias("p0"), pick(low, "chosen_civ_or_race").alias("c0"), pick(~low, "chosen_civ_or_race").alias("c1"))
+    return v.join(h, "match_id").select("match_id", "player_id", F.when(F.col("player_id") == F.col("p0"), F.col("c0")).otherwise(F.col("c1")).alias("civ"))
+
+
 # panels
 @query("""with e as (select distinct user_id, strftime(ts, '%Y-%m-%d') as period from events where user_id is not null and ts is not null)
 select period, count(*) as n_active, (select count(distinct user_id) from e) as n_ever, round(count(*) / (select count(distinct user_id) from e), 8) as fraction_active from e group by 1""")
@@ -203,6 +224,15 @@ def panel_overlap_classes(t: Tables):
     return N.overlap_classes(p, "nickname", "toon_id", "at")
 
 
+@query("""with s as (select toon_id, nickname, min(m.details.timeUTC) as s, max(m.details.timeUTC) as e from replay_players_raw join replays_meta_raw m using (filename) where toon_id is not null and nickname is not null and m.details.timeUTC is not null group by 1, 2),
+g as (select toon_id, nickname, lead(nickname) over w as next_name, epoch(strptime(substr(lead(s) over w, 1, 19), '%Y-%m-%dT%H:%M:%S')) - epoch(strptime(substr(e, 1, 19), '%Y-%m-%dT%H:%M:%S')) as gap from s window w as (partition by toon_id order by s, nickname))
+select toon_id, nickname, next_name, cast(gap as bigint) as gap_seconds from g where next_name is not null""")
+def panel_rename_gaps(t: Tables):
+    at = F.to_timestamp(F.substring("details.timeUTC", 1, 19))
+    p = t.replay_players_raw.select("filename", "nickname", "toon_id").join(t.replays_meta_raw.select("filename", at.alias("at")), "filename")
+    return N.rename_gaps(p, "toon_id", "nickname", "at").select("toon_id", "nickname", "next_name", F.round(F.col("gap_days") * 86400).cast("bigint").alias("gap_seconds"))
+
+
 @query("""with d as (select *, epoch_us(date) as us from ratings_raw where date is not null),
 w as (select least(count(*) over (partition by profile_id, leaderboard_id order by us range between unbounded preceding and 1 preceding), 20) as a, least(count(*) over (partition by profile_id order by us range between unbounded preceding and 1 preceding), 20) as b from d)
 select count(*) as n_rows, count(*) filter (where a < b) as n_short, round(avg(a), 8) as mean_narrow, round(avg(b), 8) as mean_wide from w""")
@@ -317,6 +347,11 @@ def stats_spearman(t: Tables):
     return T.spearman(t.lineitem, "l_quantity", "l_extendedprice").withColumns(_r("rho", d=8))
 
 
+@query()
+def stats_spearman_bootstrap(t: Tables):
+    return T.spearman_bootstrap(t.orders, "o_custkey", "o_totalprice", ["o_orderkey"], draws=100)
+
+
 @query("select 'l_quantity' as x, 'l_extendedprice' as y, round(corr(l_quantity, l_extendedprice), 8) as r from lineitem union all select 'l_quantity', 'l_discount', round(corr(l_quantity, l_discount), 8) from lineitem union all select 'l_extendedprice', 'l_discount', round(corr(l_extendedprice, l_discount), 8) from lineitem")
 def stats_pearson(t: Tables):
     return T.pearson_matrix(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"]).withColumns(_r("r", d=8))

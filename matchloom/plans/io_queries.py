@@ -120,6 +120,16 @@ def io_parquet_sink(t: Tables):
     return t.spark.read.parquet(path).where("l_shipmode = 'R'").select("l_orderkey", "l_linenumber", "l_shipmode")
 
 
+@query()
+def io_engine_info(t: Tables):
+    return sinks.engine_info(t.spark)
+
+
+@query()
+def io_byte_columns(t: Tables):
+    return schemas.byte_columns(schemas.parquet_footers(t.spark, t.dir))
+
+
 @query()
 def io_describe(t: Tables):
     return sinks.describe(t.replays_meta_raw)

@@ -261,6 +261,30 @@ def aggregate_grouping_sets(t: Tables):
     return t.lineitem.rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"))
 
 
+@query("""select o_orderpriority, count(*) as n, cast(row_number() over (order by sum(case when o_orderstatus = 'F' then 1 else 0 end) desc, o_orderpriority) as int) as place from orders group by 1""")
+def aggregate_as_sort_key(t: Tables):
+    """Groups in the order of an aggregate of a condition."""
+    g = t.orders.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("f"))
+    return g.select("o_orderpriority", "n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("f"), "o_orderpriority")).alias("place"))
+
+
+@query("select distinct n_name from nation n join region r on n.n_regionkey = r.r_regionkey where r.r_name = 'EUROPE'")
+def join_across_databases(t: Tables):
+    """Tables of two databases by qualified names."""
+    t.nation.createOrReplaceTempView("loom_nation")
+    t.region.createOrReplaceGlobalTempView("loom_region")
+    return t.spark.sql("select distinct n_name from loom_nation n join global_temp.loom_region r on n.n_regionkey = r.r_regionkey where r.r_name = 'EUROPE'")
+
+
+@query("""with e as (select quantile_cont(l_extendedprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as e from lineitem) select cast(len(list_filter(e, lambda x: x < l_extendedprice)) as int) as decile, count(*) as n from lineitem cross join e group by 1""")
+def window_quantile_deciles(t: Tables):
+    """Deciles by quantile edges, right-closed, ties together."""
+    from matchloom.operators.stats import frozen_bin, quantile_edges
+
+    x = F.col("l_extendedprice")
+    return t.lineitem.groupBy(frozen_bin(x, quantile_edges(t.lineitem, x)).alias("decile")).agg(F.count("*").alias("n"))
+
+
 @query()
 def aggregate_approximate(t: Tables):
     """Approximate quantile and distinct count; engines differ, so there is no SQL."""

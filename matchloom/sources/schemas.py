@@ -74,3 +74,9 @@ def compare_schemas(footers: DataFrame) -> DataFrame:
     """fingerprint, n_files, first_file: files with the same columns and types together."""
     by = footers.groupBy("filename").agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", "column_name", "type")))), 256).alias("fingerprint"))
     return by.groupBy("fingerprint").agg(F.count("*").alias("n_files"), F.min("filename").alias("first_file"))
+
+
+def byte_columns(footers: DataFrame) -> DataFrame:
+    """column_name, n_files: columns stored as bytes without saying that they are text,
+    which are to be read with binary_as_string."""
+    return footers.where("type in ('binary', 'large_binary')").groupBy("column_name").agg(F.countDistinct("filename").alias("n_files"))

@@ -44,6 +44,13 @@ def describe(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, column_name string, dtype string, nullable boolean")
 
 
+def engine_info(spark: SparkSession) -> DataFrame:
+    """name, value: version, default parallelism, database and the settings results rest on."""
+    keys = ["spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions"]
+    rows = [("version", spark.version), ("database", spark.catalog.currentDatabase()), ("parallelism", str(spark.sparkContext.defaultParallelism))]
+    return spark.createDataFrame(rows + [(k, str(spark.conf.get(k))) for k in keys], "name string, value string")
+
+
 def row_counts(spark: SparkSession, names: list[str]) -> DataFrame:
     """table_name, n_rows, as one job over all tables."""
     out: DataFrame | None = None
