@@ -7,6 +7,10 @@ by block, and every window within that radius is found (multi-index Hamming sear
 radius is two of three blocks). What is found is verified exactly along the alignment
 that the block states.
 
+The search loses no passage of any length: of n words with at most n / 8 altered, the
+untouched ones fall into at most n / 8 + 1 runs, so one run has at least six words, which
+is a block; blocks are indexed at every word.
+
 Items are a stated query set. They are gone through in blocks of bounded size, each
 against all documents in one pass without a shuffle.
 """
@@ -170,8 +174,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
             size = 0
         blocks[-1].append(item)
         size += len(item[1])
-    types = [spark_type for spark_type in (documents.select(doc_id).schema, items.select(item_id).schema)]
-    id_types = [pa.int64() if t.fields[0].dataType.simpleString() in ("bigint", "int") else pa.string() for t in types]
+    if doc_id == item_id:
+        raise ValueError("the columns of document and item ids must differ in name")
+    kinds = [documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()]
+    id_types = [{"bigint": pa.int64(), "int": pa.int32()}.get(k, pa.string()) for k in kinds]
 
     def searching(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ TOKENIZER = os.environ.get("MATCHLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.
 #: Groups of large sizes; sizes above capacity / LARGE are large.
 GROUPS, LARGE = 96, 8
 #: Parts that the documents of one size are numbered in.
-SALTS = 64
+SALTS = 256
 
 
 @lru_cache(maxsize=2)
@@ -224,6 +224,8 @@ def pack(sizes: DataFrame, capacity: int, item: str = "doc_id", size: str = "n_t
     repeated item is placed as often as it occurs."""
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
+    if item in ("piece", "size", "container", "start", "salt"):
+        raise ValueError(f"column {item} clashes with the result's")
     spark = sizes.sparkSession
     kind = sizes.schema[item].dataType.simpleString()
     n = F.coalesce(F.col(size), F.lit(0)).cast("bigint")

@@ -64,6 +64,7 @@ def test_many_items_go_in_blocks(spark, monkeypatch):
     items = [(k, " ".join(VOCABULARY[k * 25 : k * 25 + 25])) for k in range(6)]
     d = spark.createDataFrame([(1, " ".join(t for _, t in items))], "doc_id bigint, text string")
     assert find_leaks(d, spark.createDataFrame(items, "item_id bigint, text string")).count() == 6
+    assert find_leaks(d.withColumn("doc_id", d["doc_id"].cast("int")), spark.createDataFrame([(str(k), t) for k, t in items], "item_id string, text string")).count() == 6
 
 
 def test_simhash_of_a_run_is_the_majority():
