@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from matchloom.operators.relational import lag_in_cells
+
 
 def event_profile(df: DataFrame, file: str, kind: str) -> DataFrame:
     """kind, n, share, n_files, coverage, per_file: how often a type occurs, in how many
@@ -16,10 +18,11 @@ def event_profile(df: DataFrame, file: str, kind: str) -> DataFrame:
     return by.crossJoin(F.broadcast(files)).select(kind, "n", (F.col("n") / F.col("rows")).alias("share"), "n_files", (F.col("n_files") / F.nullif(F.col("files"), F.lit(0))).alias("coverage"), (F.col("n") / F.nullif(F.col("n_files"), F.lit(0))).alias("per_file"))
 
 
-def tick_gaps(df: DataFrame, file: str, loop: str, keys: list[str] = ()) -> DataFrame:
+def tick_gaps(df: DataFrame, file: str, loop: str, keys: list[str] = (), width: int = 1 << 14) -> DataFrame:
     """gap, n: distances between successive events of a file (and key)."""
-    w = Window.partitionBy(file, *keys).orderBy(loop)
-    return df.select((F.col(loop) - F.lag(loop).over(w)).alias("gap")).where("gap is not null").groupBy("gap").agg(F.count("*").alias("n"))
+    t = F.col(loop)
+    d = lag_in_cells(df.select(file, *keys, loop), [file, *keys], t, [], {"__p": t}, width)
+    return d.select((t - F.col("__p")).alias("gap")).where("gap is not null").groupBy("gap").agg(F.count("*").alias("n"))
 
 
 def tick_histogram(df: DataFrame, kind: str, loop: str, width: int = 1000) -> DataFrame:
@@ -51,13 +54,14 @@ def attribute_events(events: DataFrame, players: DataFrame, file: str, kind: str
     return e.withColumn("is_known", F.coalesce("__known", F.lit(False))).withColumn("slot", slot).drop("__known")
 
 
-def field_monotonicity(df: DataFrame, keys: list[str], loop: str, text: str, fields: dict[str, str]) -> DataFrame:
+def field_monotonicity(df: DataFrame, keys: list[str], loop: str, text: str, fields: dict[str, str], width: int = 1 << 14) -> DataFrame:
     """field, n, n_null, n_down, low, high: for JSON fields, how often a value falls from
-    one event to the next. All fields in one scan and one window."""
-    w = Window.partitionBy(*keys).orderBy(loop)
-    v = df.select(*keys, loop, *[F.get_json_object(text, p).try_cast("double").alias(f"v{i}") for i, p in enumerate(fields.values())])
-    v = v.select("*", *[F.lag(f"v{i}").over(w).alias(f"p{i}") for i in range(len(fields))])
-    one = v.agg(*[x for i in range(len(fields)) for x in (F.count(f"v{i}").alias(f"n{i}"), F.count(F.when(F.col(f"v{i}").isNull(), 1)).alias(f"z{i}"), F.count(F.when(F.col(f"v{i}") < F.col(f"p{i}"), 1)).alias(f"d{i}"), F.min(f"v{i}").alias(f"l{i}"), F.max(f"v{i}").alias(f"h{i}"))])
+    one event to the next (events at the same tick in the order of their text). All
+    fields in one scan and one window."""
+    m = range(len(fields))
+    v = df.select(*keys, loop, text, *[F.get_json_object(text, p).try_cast("double").alias(f"v{i}") for i, p in enumerate(fields.values())])
+    v = lag_in_cells(v, keys, F.col(loop), [F.col(text)], {f"p{i}": F.col(f"v{i}") for i in m}, width)
+    one = v.agg(*[x for i in m for x in (F.count(f"v{i}").alias(f"n{i}"), F.count(F.when(F.col(f"v{i}").isNull(), 1)).alias(f"z{i}"), F.count(F.when(F.col(f"v{i}") < F.col(f"p{i}"), 1)).alias(f"d{i}"), F.min(f"v{i}").alias(f"l{i}"), F.max(f"v{i}").alias(f"h{i}"))])
     rows = [F.struct(F.lit(n).alias("field"), F.col(f"n{i}").alias("n"), F.col(f"z{i}").alias("n_null"), F.col(f"d{i}").alias("n_down"), F.col(f"l{i}").alias("low"), F.col(f"h{i}").alias("high")) for i, n in enumerate(fields)]
     return one.select(F.inline(F.array(*rows)))
 

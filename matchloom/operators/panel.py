@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from matchloom.functions.scalar import gap_bucket
+from matchloom.operators.relational import lag_in_cells
+
 
 def fraction_active(df: DataFrame, entity: str, period: Column) -> DataFrame:
     """period, n_active, n_ever, fraction_active: the part of all entities ever seen that
@@ -87,11 +90,12 @@ def prior_count_shortfall(df: DataFrame, narrow: list[str], wide: list[str], at:
     return r.agg(F.count("*").alias("n_rows"), F.count(F.when(F.col("a") < F.col("b"), 1)).alias("n_short"), F.avg("a").alias("mean_narrow"), F.avg("b").alias("mean_wide"))
 
 
-def rating_continuity(df: DataFrame, keys: list[str], order: list[str], before: str, after: str, at: str) -> DataFrame:
+def rating_continuity(df: DataFrame, keys: list[str], ties: list[str], before: str, after: str, at: str, cell_days: int = 28) -> DataFrame:
     """gap, n, n_continues, mean_jump: whether a row's rating before equals the previous
-    row's rating after, by the time in between."""
-    from matchloom.functions.scalar import days_between, gap_bucket
-
-    w = Window.partitionBy(*keys).orderBy(*order)
-    r = df.withColumn("__p", F.lag(after).over(w)).withColumn("__d", days_between(F.col(at), F.lag(at).over(w)))
-    return r.groupBy(gap_bucket(F.col("__d")).alias("gap")).agg(F.count("*").alias("n"), F.count(F.when(F.col("__p") == F.col(before), 1)).alias("n_continues"), F.avg(F.col(before) - F.col("__p")).alias("mean_jump"))
+    row's rating after, by the time in between. ties order rows of the same time; nulls
+    come last."""
+    t = F.unix_micros(F.col(at).cast("timestamp"))
+    order = [x for c in ties for x in (F.col(c).isNull(), F.col(c))]
+    r = lag_in_cells(df, keys, t, order, {"__p": F.col(after), "__t": t}, cell_days * 86_400_000_000)
+    days = (t - F.col("__t")) / 86_400e6
+    return r.groupBy(gap_bucket(days).alias("gap")).agg(F.count("*").alias("n"), F.count(F.when(F.col("__p") == F.col(before), 1)).alias("n_continues"), F.avg(F.col(before) - F.col("__p")).alias("mean_jump"))

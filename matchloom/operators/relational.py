@@ -92,6 +92,27 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, left_at: str, right_at
     return both.select(*[F.col("__row").getField(c).alias(c) for c in columns], found.alias(out))
 
 
+def lag_in_cells(df: DataFrame, keys: list[str], at: Column, ties: list[Column], columns: dict[str, Column], width: int) -> DataFrame:
+    """df with, for each name of `columns`, that expression's value in the previous row of
+    the key by (`at`, `ties`); null in a key's first row.
+
+    at is a number (a tick, or microseconds). It is cut into cells of `width`, and lag
+    runs within (key, cell), so that a hot key is many tasks' work; a cell's first row
+    takes its values from an aggregate with one row per cell. Rows with a null `at` come
+    last, in a cell of their own. Null keys are a key. ties should leave no two rows
+    alike; the values must be of types that can be ordered."""
+    names = list(columns)
+    k = {f"__k{i}": F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for i, c in enumerate(keys)}
+    order = [F.coalesce(at.cast("double"), F.lit(float("inf"))).alias("o"), *[t.alias(f"t{i}") for i, t in enumerate(ties)]]
+    d = df.withColumns(k | {"__c": F.coalesce(F.floor(at / width).cast("bigint"), F.lit((1 << 62))), "__o": F.struct(*order), "__v": F.struct(*[c.alias(n) for n, c in columns.items()])})
+    w = Window.partitionBy(*k, "__c").orderBy("__o")
+    d = d.withColumn("__prev", F.lag("__v").over(w)).withColumn("__first", F.row_number().over(w) == 1)
+    ends = d.groupBy(*k, "__c").agg(F.max_by("__v", "__o").alias("__end"))
+    ends = ends.select(*k, "__c", F.lag("__end").over(Window.partitionBy(*k).orderBy("__c")).alias("__before"))
+    d = d.join(ends, [*k, "__c"], "left").withColumn("__prev", F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__prev")))
+    return d.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], *[F.col("__prev").getField(n).alias(n) for n in names])
+
+
 def interval_join(left: DataFrame, right: DataFrame, on: str, left_at: str, right_at: str, seconds: int, how: str = "inner", before: bool = False) -> DataFrame:
     """Pairs of one key whose right time lies from the left time to `seconds` later (with
     `before` also that much earlier), ends included.

@@ -244,8 +244,7 @@ def panel_prior_shortfall(t: Tables):
 select case when d is null then 'first' when d < 1 then '<1d' when d < 7 then '1-7d' when d < 30 then '7-30d' else '>30d' end as gap, count(*) as n, count(*) filter (where p = rating - rating_diff) as n_continues from g group by 1""")
 def panel_rating_continuity(t: Tables):
     r = t.ratings_raw.withColumn("before", F.col("rating") - F.col("rating_diff"))
-    order = [x for c in ("date", "filename", "rating", "games", "rating_diff") for x in (F.col(c).asc_nulls_last(),)]
-    return N.rating_continuity(r, ["profile_id", "leaderboard_id"], order, "before", "rating", "date").select("gap", "n", "n_continues")
+    return N.rating_continuity(r, ["profile_id", "leaderboard_id"], ["filename", "rating", "games", "rating_diff"], "before", "rating", "date").select("gap", "n", "n_continues")
 
 
 @query("""select toon_id, region, count(*) as n, count(*) filter (where split_part(toon_id, '-', 3) = realm) as n_same_realm, split_part(toon_id, '-', 1) as code from replay_players_raw group by 1, 2""")

@@ -330,8 +330,9 @@ _GAP = """case when d is null then 'first' when d < 1 then '<1d' when d < 7 then
 @query(f"""with g as (select *, lag(o_orderpriority) over w as p, epoch(o_orderdate - lag(o_orderdate) over w) / 86400.0 as d from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey))
 select {_GAP} as gap, count(*) as n, count(*) filter (where p = o_orderpriority) as n_same from g group by 1""")
 def window_lag_gap_agreement(t: Tables):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    g = t.orders.withColumn("p", F.lag("o_orderpriority").over(w)).withColumn("d", S.days_between(F.col("o_orderdate"), F.lag("o_orderdate").over(w)))
+    at = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    g = R.lag_in_cells(t.orders, ["o_custkey"], at, [F.col("o_orderkey")], {"p": F.col("o_orderpriority"), "before": F.col("o_orderdate")}, 365 * 86_400_000_000)
+    g = g.withColumn("d", S.days_between(F.col("o_orderdate"), F.col("before")))
     return g.groupBy(S.gap_bucket(F.col("d")).alias("gap")).agg(F.count("*").alias("n"), F.count(F.when(F.col("p") == F.col("o_orderpriority"), 1)).alias("n_same"))
 
 

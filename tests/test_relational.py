@@ -91,3 +91,16 @@ def test_scalars(spark):
     assert one(S.pair_key(F.lit(5), F.lit(3))) == one(S.pair_key(F.lit(3), F.lit(5)))
     few = spark.createDataFrame([(1.0,), (2.0,)], "x double").agg(S.skewness_adjusted(F.col("x")).alias("s"), S.kurtosis_adjusted(F.col("x")).alias("k")).first()
     assert few["s"] is None and few["k"] is None
+
+
+@pytest.mark.parametrize("width", [5, 1000])
+def test_lag_in_cells(spark, width):
+    r = random.Random(3)
+    data = [(i, r.choice([1, 1, 2, None]), r.randrange(60) if i % 9 else None, r.choice("xyz")) for i in range(150)]
+    got = R.lag_in_cells(spark.createDataFrame(data, "i int, k int, at int, s string"), ["k"], F.col("at"), [F.col("i")], {"prev": F.col("s"), "prev_i": F.col("i")}, width)
+    last, want = {}, []
+    for i, k, at, s in sorted(data, key=lambda d: (d[2] is None, d[2] or 0, d[0])):
+        p = last.get(k, (None, None))
+        want.append((i, k, at, s, *p))
+        last[k] = (s, i)
+    assert rows(got) == sorted(want, key=str)
