@@ -66,8 +66,42 @@ union all select match_id, 'matches_long_raw', started_timestamp, {_instant('sta
 """
 
 
+_CHANGES = r"""
+with r as (select distinct filename, line_no, record from raw_records where json_valid(record) and json_type(record) = 'OBJECT'),
+f as (select filename, regexp_extract(filename, '^(.*)/[^/]*$', 1) as dir, line_no, field, json_extract(record, '$."' || field || '"') as v from (select filename, line_no, record, unnest(json_keys(record)) as field from r)),
+g as (select *, case json_type(v) when 'NULL' then null when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'DOUBLE' then 'decimal' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' else 'object' end as t from f),
+files as (select dir, filename, min(line_no) as lo, max(line_no) as hi, lag(filename) over w as prev, lead(filename) over w as nxt from g group by dir, filename window w as (partition by dir order by filename)),
+by_field as (select g.dir, g.filename, prev, nxt, field, string_agg(distinct t, '|' order by t) as t,
+  coalesce(max(v::varchar) filter (where line_no = lo), '') || chr(1) || coalesce(max(v::varchar) filter (where line_no = lo + 1), '') as head,
+  coalesce(max(v::varchar) filter (where line_no = hi - 1), '') || chr(1) || coalesce(max(v::varchar) filter (where line_no = hi), '') as tail
+  from g join files using (filename) group by 1, 2, 3, 4, 5),
+b as (select coalesce(o.file, n.file) as filename, o.field as f0, n.field as f1, o.t as t0, n.t as t1, o.tail as v0, n.head as v1 from (select nxt as file, * from by_field where nxt is not null) o full join (select filename as file, * from by_field where prev is not null) n on o.file = n.file and o.field = n.field),
+fits as (select a.filename, a.f0 as old, c.f1 as new, dense_rank() over (partition by a.filename, a.v0 order by a.f0) as i, dense_rank() over (partition by a.filename, a.v0 order by c.f1) as j from b a join b c on a.filename = c.filename and a.f1 is null and c.f0 is null and a.v0 = c.v1 and a.v0 <> chr(1)),
+renamed as (select filename, old, new from fits where i = j)
+select filename, 'renamed' as change, old as field, new as new_field from renamed
+union all select filename, 'removed', f0, '' from b where f1 is null and not exists (select 1 from renamed r where r.filename = b.filename and r.old = b.f0)
+union all select filename, 'added', f1, '' from b where f0 is null and not exists (select 1 from renamed r where r.filename = b.filename and r.new = b.f1)
+union all select filename, 'retyped', f0, '' from b where f0 = f1 and t0 <> t1
+"""
+
+_HELD = r"""
+with recursive e as (select filename, case when json_valid(event_data ->> '$.payload') then (event_data ->> '$.payload')::json else event_data::json end as j from tracker_events_raw where json_valid(event_data)),
+top as (select filename, try_cast(coalesce(j ->> '$.controlPlayerId', j ->> '$.owner.playerID') as int) as player, unnest(list_concat([j -> '$.unit'], case when json_type(j -> '$.units') = 'ARRAY' then (j -> '$.units')::json[] else [j -> '$.units'] end)) as node from e),
+held as (select filename, player, null::bigint as parent_tag, node from top where node is not null
+  union all select filename, player, try_cast(node ->> '$.tag' as bigint), unnest(case when json_type(node -> '$.cargo') = 'ARRAY' then (node -> '$.cargo')::json[] else [node -> '$.cargo'] end) from held where json_type(node) = 'OBJECT' and json_type(node -> '$.cargo') <> 'NULL'),
+m as (select filename, ToonPlayerDescMap::json as j from replays_meta_raw where json_valid(ToonPlayerDescMap)),
+listed as (select filename, unnest(case when json_type(j) = 'ARRAY' then j::json[] else (j -> '$.players')::json[] end) as x from m where json_type(j) = 'ARRAY' or json_type(j -> '$.players') = 'ARRAY'),
+players as (select filename, x ->> '$.toon' as toon_id, try_cast(coalesce(x ->> '$.playerID', x ->> '$.profile.playerID') as int) as player from listed
+  union select m.filename, e.key, try_cast(e.value ->> '$.playerID' as int) from m, lateral (select * from json_each(m.j)) as e where json_type(m.j) = 'OBJECT' and (m.j -> '$.players') is null)
+select distinct h.filename, p.toon_id, h.parent_tag, try_cast(case when json_type(node) = 'OBJECT' then node ->> '$.tag' else node ->> '$' end as bigint) as child_tag
+from held h join players p on p.filename = h.filename and p.player = h.player where h.parent_tag is not null and p.toon_id is not null and try_cast(case when json_type(node) = 'OBJECT' then node ->> '$.tag' else node ->> '$' end as bigint) is not null
+"""
+
+
 def oracles() -> dict[str, str]:
     return {
+        "p4_found": _CHANGES,
+        "p6_found": _HELD,
         "p2_found": f"select distinct match_id, player_id from ({_RATED}) where rating is not null and rating <> rating_pre_raw",
         "p2_rated": f"select distinct match_id, player_id, rating_pre_raw, rating as rating_known from ({_RATED})",
         "p5_instants": f"{_STARTS} select match_id, source, text, us as instant_us from r",
