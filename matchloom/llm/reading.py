@@ -12,14 +12,17 @@ Labelled documents hold the scale: during estimation they are kept at their mean
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.session import discard, materialise
+from matchloom.session import materialise
 
 #: Levels at which word counts are gathered, and the finer ones that documents may have.
 GRID = np.linspace(0.5, 5.5, 21)
@@ -29,27 +32,45 @@ CENTRE = 3.0
 LEAST, SPREAD = 3, 4.0
 #: Rows of a word that share a key; more are salted.
 ROWS_PER_KEY = 200_000
+#: Words up to which the table of difficulties is broadcast; beyond it is shuffled.
+SMALL = 100_000
 STEP = 0.02
 
 
-def words_of(text: Column) -> Column:
-    """A text's running words in lower case, without markup, entities, and what isn't
-    prose: pasted readings and identifiers (anything with = or _)."""
-    t = F.regexp_replace(text, r"</?[A-Za-z][^<>]{0,200}>|&[A-Za-z#0-9]{1,8};", " ")
-    t = F.regexp_replace(t, r"\x{AD}", "")
-    t = F.regexp_replace(F.translate(t, "\u00a0", " "), r"\S*[=_]\S*", " ")
-    return F.regexp_extract_all(F.lower(t), F.lit(r"([a-z][a-z'-]+)"), F.lit(1))
+_MARKUP = re.compile(r"</?[A-Za-z][^<>]{0,200}>|&[A-Za-z#0-9]{1,8};")
+_WORD = re.compile(r"[a-z][a-z'-]+")
+
+
+def words_of(text: str | None) -> list[str]:
+    """A text's running words in lower case, without markup, entities, soft hyphens, and
+    what isn't prose: pasted readings and identifiers (anything with = or _)."""
+    if not text:
+        return []
+    t = _MARKUP.sub(" ", text).replace("\xad", "").lower()
+    if "=" in t or "_" in t:
+        t = " ".join(x for x in t.split() if "=" not in x and "_" not in x)
+    return _WORD.findall(t)
 
 
 def _word_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, word, n, salt) for words that occur at least LEAST times. Frequent words
-    have their rows spread over several salts."""
-    t = docs.select(F.col(doc_id).alias("doc"), F.explode(words_of(F.col(text))).alias("word")).groupBy("doc", "word").agg(F.count("*").cast("int").alias("n"))
-    t = materialise(t, "tokens")
-    often = t.groupBy("word").agg(F.sum("n").alias("total"), F.ceil(F.count("*") / ROWS_PER_KEY).cast("int").alias("salts")).where(F.col("total") >= LEAST)
-    out = materialise(t.join(often, "word").select("doc", "word", "n", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"), "salts"), "tokens")
-    discard(t)
-    return out
+    """(doc, words, ns): each document's distinct words and how often they occur, which
+    needs no shuffle; documents without words are left out."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = [Counter(words_of(t)) for t in b.column(1).to_pylist()]
+            keep = pa.array([bool(c) for c in counts])
+            words = pa.array([list(c) for c in counts], pa.list_(pa.string()))
+            ns = pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), words, ns], names=["doc", "words", "ns"]).filter(keep)
+
+    return materialise(docs.select(doc_id, text).mapInArrow(run, f"doc {kind}, words array<string>, ns array<int>"), "tokens")
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has few rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def _fit_words(exposure: np.ndarray, log_z: np.ndarray):
@@ -62,7 +83,7 @@ def _fit_words(exposure: np.ndarray, log_z: np.ndarray):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = np.stack([batch.column(i + 2).to_numpy(zero_copy_only=False).astype(float) for i in range(len(GRID))], axis=1)
+            c = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False).astype(float) for i in range(len(GRID))], axis=1)
             total, b = c.sum(1), np.zeros(len(c))
             for _ in range(12):
                 e = base + b[:, None] * x
@@ -74,7 +95,7 @@ def _fit_words(exposure: np.ndarray, log_z: np.ndarray):
             e = base + b[:, None] * x
             top = e.max(1)
             a = np.log(total) - top - np.log(np.exp(e - top[:, None]).sum(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(b), pa.array(a)], names=["word", "salts", "b", "a"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(b), pa.array(a)], names=["word", "b", "a"])
 
     return run
 
@@ -131,28 +152,38 @@ def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     level null. All texts take part in full."""
     ids = docs.schema[doc_id].dataType.simpleString()
     d = docs.select(doc_id, text).where(F.col(doc_id).isNotNull())
-    tokens = _word_counts(d, doc_id, text)
-    parts = max(1, tokens.rdd.getNumPartitions())
+    docs_words = _word_counts(d, doc_id, text)
+    rows = lambda df, *keep: df.select(*keep, F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("ns").alias("n"))))
+    # frequent words have their rows spread over several keys; how many is a matter of counts only
+    hot = rows(docs_words).groupBy("word").agg(F.ceil(F.count("*") / ROWS_PER_KEY).cast("int").alias("salts")).where("salts > 1")
+    hot = materialise(hot, "hot-words")
     lab = labels.select(F.col(doc_id).alias("doc"), F.col(label).cast("int").alias("label")).where("doc is not null and label between 1 and 5")
-    anchors = materialise(lab.groupBy("doc").agg(F.avg("label").alias("t")).join(tokens.select("doc").distinct(), "doc", "left_semi"), "anchors")
+    anchors = materialise(lab.groupBy("doc").agg(F.avg("label").alias("t")).join(docs_words.select("doc"), "doc", "left_semi"), "anchors")
     none = d.select(doc_id, F.lit(None).cast("double").alias("difficulty"), F.lit(None).cast("int").alias("level"))
     if anchors.isEmpty():
-        if not tokens.isEmpty():
+        if not docs_words.isEmpty():
             raise ValueError("no document has a label")
         return none
     placed, log_z = anchors, np.zeros(len(GRID))
     kind = "string" if ids == "string" else ids
     for _ in range(rounds):
         grid = F.least(F.greatest(F.round((F.col("t") - float(GRID[0])) / float(GRID[1] - GRID[0])), F.lit(0.0)), F.lit(len(GRID) - 1.0)).cast("int")
-        by = tokens.join(placed.select("doc", grid.alias("g")), "doc")
-        counts = materialise(by.groupBy("word", "salts").agg(*[F.coalesce(F.sum(F.when(F.col("g") == k, F.col("n"))), F.lit(0)).alias(f"c{k}") for k in range(len(GRID))]), "by-level")
+        by = rows(docs_words.join(placed.select("doc", grid.alias("g")), "doc"), "g")
+        counts = by.groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("g") == k, F.col("n"))), F.lit(0)).alias(f"c{k}") for k in range(len(GRID))])
+        counts = materialise(counts.where(reduce(lambda x, y: x + y, [F.col(f"c{k}") for k in range(len(GRID))]) >= LEAST), "by-level")
         exposure = np.array(counts.agg(*[F.sum(f"c{k}") for k in range(len(GRID))]).first(), float)
-        words = materialise(counts.mapInArrow(_fit_words(exposure, log_z), "word string, salts int, b double, a double"), "words")
-        z = np.sum([r["z"] for r in words.select("b", "a").coalesce(parts).mapInArrow(_partition_sums, "z array<double>").collect()], axis=0)
+        words = materialise(counts.mapInArrow(_fit_words(exposure, log_z), "word string, b double, a double"), "words")
+        z = np.sum([r["z"] for r in words.select("b", "a").mapInArrow(_partition_sums, "z array<double>").collect()], axis=0)
         fine = np.log(z)
         log_z = np.interp(GRID, FINE, fine)
-        spread = words.select("word", "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-        means = tokens.join(spread, ["word", "salt"]).groupBy("doc").agg(F.sum(F.col("n") * F.col("b")).alias("s"), F.sum("n").cast("double").alias("n"))
+        if words.count() <= SMALL:
+            scored = rows(docs_words, "doc").join(F.broadcast(words.select("word", "b")), "word")
+        else:
+            spread = words.select("word", "b").join(_small(hot, SMALL), "word", "left").select("word", "b", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+            salted = rows(docs_words, "doc").join(_small(hot, SMALL), "word", "left")
+            salted = salted.withColumn("salt", F.pmod(F.xxhash64("doc"), F.coalesce("salts", F.lit(1))).cast("int"))
+            scored = salted.join(spread, ["word", "salt"])
+        means = scored.groupBy("doc").agg(F.sum(F.col("n") * F.col("b")).alias("s"), F.sum("n").cast("double").alias("n"))
         levels = materialise(means.mapInArrow(_place(fine), f"doc {kind}, t double"), "levels")
         placed = levels.join(anchors.select("doc", F.col("t").alias("held")), "doc", "left").select("doc", F.coalesce("held", "t").alias("t"))
     bin_ = F.round((F.col("t") - float(FINE[0])) / STEP).cast("int")

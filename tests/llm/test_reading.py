@@ -23,13 +23,13 @@ def test_held_out_accuracy(spark):
     true, docs = corpus(r)
     labels = [(i, min(5, max(1, true[i] + (r.choice([-1, 1]) if r.random() < 0.15 else 0)))) for i in range(120)]
     labels += [(0, None), (None, 3), (99999, 2), (1, 9)]
-    extra = [(1000, ""), (1001, None), (1002, "zzqq xxyy"), (1003, "12 = 4 <b></b> &nbsp;"), (1004, text(r, 5, 40_000))]
+    extra = [(1000, ""), (1001, None), (1002, "zzqq xxyy"), (1003, "12 = 4 <b></b> &nbsp;"), (1004, text(r, 5, 40_000)), (1005, "x" * 300_000), (1006, "=" * 300_000)]
     d = spark.createDataFrame(docs + extra, "doc_id bigint, text string")
     got = {x["doc_id"]: x for x in reading_levels(d, spark.createDataFrame(labels, "doc_id bigint, level int")).collect()}
     assert len(got) == len(docs) + len(extra)
     held = [i for i in true if i >= 120]
     assert sum(got[i]["level"] == true[i] for i in held) >= 0.95 * len(held)
-    assert all(got[i]["level"] is None for i in (1000, 1001, 1002, 1003)) and got[1004]["level"] == 5
+    assert all(got[i]["level"] is None for i in (1000, 1001, 1002, 1003, 1005, 1006)) and got[1004]["level"] == 5
 
 
 def test_salted_words_give_the_same(spark, monkeypatch):
@@ -41,6 +41,7 @@ def test_salted_words_give_the_same(spark, monkeypatch):
     labels = spark.createDataFrame([(i, true[i]) for i in range(60)], "doc_id bigint, level int")
     plain = sorted(map(tuple, reading_levels(d, labels).collect()))
     monkeypatch.setattr(reading, "ROWS_PER_KEY", 10)
+    monkeypatch.setattr(reading, "SMALL", 0)
     salted = sorted(map(tuple, reading_levels(d, labels).collect()))
     assert [(a[0], a[2]) for a in plain] == [(a[0], a[2]) for a in salted]
 
