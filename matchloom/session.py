@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -38,23 +39,34 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def _ship(spark: SparkSession) -> None:
-    """Hand this package to the executors, once an application: they need not have it."""
+    """Hand this package to the executors by way of the shared folder, once an
+    application. A cluster without a shared folder must have the package installed."""
     sc = spark.sparkContext
     if getattr(sc, "_matchloom_shipped", False):
         return
-    root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="matchloom-")) / "matchloom.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+    sc._matchloom_shipped = True
+    if not sc.master.startswith("local") and not _configured(spark):
+        return
+    root, data = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(archive))
-    sc._matchloom_shipped = True
+    target = f"{shared_dir(spark)}/matchloom-{uuid.uuid4().hex[:12]}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(target)
+
+
+def _configured(spark: SparkSession) -> str | None:
+    return spark.conf.get(SHARED_DIR, None) or spark.sparkContext.getConf().get(SHARED_DIR, None)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. It is read from the session; only a local
     master without the setting gets a temporary folder of its own."""
-    path = spark.conf.get(SHARED_DIR, None) or spark.sparkContext.getConf().get(SHARED_DIR, None)
+    path = _configured(spark)
     if path:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
