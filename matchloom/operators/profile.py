@@ -11,6 +11,7 @@ values out in every row (such rare values then conform to no expression).
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,13 +24,23 @@ SYMBOL_BITS, ENTRY_BITS, LITERAL_BITS = 8.0, 16.0, 8.0
 _D, _L, _W = math.log2(10), math.log2(26), math.log2(62)
 
 
+def cells(df: DataFrame, view: str, load: Column, skip: list[str] = ()) -> DataFrame:
+    """(view_name, load_prefix, column_name, value): every cell, its value as text."""
+    parts = [F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns if c not in skip]
+    return df.select(F.lit(view).alias("view_name"), load.alias("load_prefix"), F.inline(F.array(*parts)))
+
+
+def count_cells(*tables: DataFrame) -> DataFrame:
+    """(view_name, load_prefix, column_name, value, n) of the cells of all tables: how
+    often each load's column has each value; null is a value too. Counting is partial
+    before the one shuffle, and the key holds the value, so that a hot load is spread
+    over tasks; stand-ins are later joined in this partitioning."""
+    return reduce(DataFrame.unionByName, tables).groupBy(*KEY, "value").agg(F.count("*").alias("n"))
+
+
 def value_counts(df: DataFrame, view: str, load: Column, skip: list[str] = ()) -> DataFrame:
-    """(view_name, load_prefix, column_name, value, n): how often each load's column has
-    each value, written as text; null is a value too. Counting is partial before the
-    shuffle, and the key holds the value, so that a hot load is spread over tasks."""
-    cells = [F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns if c not in skip]
-    long = df.select(F.lit(view).alias("view_name"), load.alias("load_prefix"), F.inline(F.array(*cells)))
-    return long.groupBy(*KEY, "value").agg(F.count("*").alias("n"))
+    """count_cells of one table."""
+    return count_cells(cells(df, view, load, skip))
 
 
 def column_profile(counts: DataFrame, stand_ins: DataFrame | None = None) -> DataFrame:

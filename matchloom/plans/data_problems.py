@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from matchloom.operators.bitemporal import as_known_at
 from matchloom.operators.nested import flatten_records
-from matchloom.operators.profile import column_profile, coverage_drift, expression_coverage, induce_expressions, ledger_errors, value_counts
+from matchloom.operators.profile import cells, column_profile, count_cells, coverage_drift, expression_coverage, induce_expressions, ledger_errors
 from matchloom.operators.timestamps import normalise_times
 from matchloom.session import materialise, table
 from matchloom.sources.drift import explode_fields, fingerprints, schema_changes, unify
@@ -45,8 +45,7 @@ def load_counts(spark: SparkSession, d: str) -> DataFrame:
     """Value counts of both loaded tables, by load. A load's prefix is the part of the
     file name that the ledger names: feed and calendar month."""
     load = F.regexp_extract("filename", r"^([^/]*/[^/]*/\d{4}-\d{2})", 1)
-    parts = [value_counts(table(spark, d, v), v, load, ["filename"]) for v in LOADED]
-    return parts[0].unionByName(parts[1])
+    return count_cells(*[cells(table(spark, d, v), v, load, ["filename"]) for v in LOADED])
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
