@@ -153,29 +153,34 @@ def induce_expressions(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def expression_coverage(counts: DataFrame, assignment: DataFrame) -> DataFrame:
-    """(view_name, load_prefix, column_name, shape, n_rows, share): rows of each load
-    under each expression; shape is null for rows that conform to none. Shares are of
-    the load's non-null rows."""
-    j = counts.where("value is not null").join(assignment, ["view_name", "column_name", "value"])
-    by = j.groupBy(*KEY, "shape").agg(F.sum("n").alias("n_rows"))
+    """(view_name, load_prefix, column_name, is_null, shape, n_rows, share): rows of each
+    load under each expression; shape is null for rows that conform to none. Null values
+    are a class of their own (is_null), so that every column of a load has a row. Shares
+    are of all rows of the load."""
+    j = counts.join(assignment, ["view_name", "column_name", "value"], "left")
+    by = j.groupBy(*KEY, F.col("value").isNull().alias("is_null"), "shape").agg(F.sum("n").alias("n_rows"))
     return by.withColumn("share", F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy(*KEY)))
 
 
 def coverage_drift(coverage: DataFrame, feed: Column) -> DataFrame:
-    """Change between each load and the one before it of the same feed: per column the
-    total variation distance of expression shares (0 alike, 1 disjoint), the rows that
-    conform to nothing, and the number of expressions that are new in the load."""
+    """Change between each load and the one before it of the same feed, for every column
+    of either; only the first load of a feed gives no rows. Per column: the total
+    variation distance of the shares of expressions and of null (0 alike, 1 disjoint, or
+    the column isn't in one of the loads), the rows that conform to nothing, the number
+    of expressions that are new in the load, the share of null and its change."""
     loads = coverage.select("view_name", "load_prefix").distinct().withColumn("feed", feed)
-    loads = loads.withColumn("later", F.lead("load_prefix").over(Window.partitionBy("view_name", "feed").orderBy("load_prefix")))
+    order = Window.partitionBy("view_name", "feed").orderBy("load_prefix")
+    loads = loads.withColumn("later", F.lead("load_prefix").over(order)).withColumn("earlier", F.lag("load_prefix").over(order))
     shape = F.coalesce("shape", F.lit("\x00")).alias("shape")
-    new = coverage.select(*KEY, shape, F.col("share").alias("q"), "n_rows")
-    old = coverage.join(loads, ["view_name", "load_prefix"]).where("later is not null").select("view_name", F.col("later").alias("load_prefix"), "column_name", shape, F.col("share").alias("p"))
-    pair = new.join(old, [*KEY, "shape"], "full")
+    new = coverage.select(*KEY, "is_null", shape, F.col("share").alias("q"), "n_rows")
+    old = coverage.join(loads, ["view_name", "load_prefix"]).where("later is not null").select("view_name", F.col("later").alias("load_prefix"), "column_name", "is_null", shape, F.col("share").alias("p"))
+    pair = new.join(old, [*KEY, "is_null", "shape"], "full")
+    q, p, null = F.coalesce("q", F.lit(0.0)), F.coalesce("p", F.lit(0.0)), F.col("is_null")
     d = pair.groupBy(*KEY).agg(
-        (F.sum(F.abs(F.coalesce("q", F.lit(0.0)) - F.coalesce("p", F.lit(0.0)))) / 2).alias("distance"),
-        F.coalesce(F.sum(F.when(F.col("shape") == "\x00", F.col("n_rows"))), F.lit(0)).alias("n_nonconforming"),
-        F.count(F.when(F.col("p").isNull(), 1)).cast("int").alias("n_new_expressions"),
-        F.max(F.when(F.col("p").isNotNull(), 1)).alias("has_prev"),
-        F.max(F.when(F.col("q").isNotNull(), 1)).alias("has_load"),
+        F.greatest(F.sum(F.greatest(q - p, F.lit(0.0))), F.sum(F.greatest(p - q, F.lit(0.0)))).alias("distance"),
+        F.coalesce(F.sum(F.when(~null & (F.col("shape") == "\x00"), F.col("n_rows"))), F.lit(0)).alias("n_nonconforming"),
+        F.count(F.when(~null & F.col("p").isNull(), 1)).cast("int").alias("n_new_expressions"),
+        F.sum(F.when(null, q).otherwise(0.0)).alias("null_share"),
+        F.sum(F.when(null, q - p).otherwise(0.0)).alias("null_change"),
     )
-    return d.where("has_prev = 1 and has_load = 1").drop("has_prev", "has_load")
+    return d.join(loads.where("earlier is not null").select("view_name", "load_prefix"), ["view_name", "load_prefix"], "left_semi")

@@ -70,7 +70,7 @@ def p3_expressions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_drift(spark: SparkSession, d: str) -> DataFrame:
-    """Change of expression coverage between successive loads of each feed."""
+    """Change of expression coverage and null share between successive loads of each feed."""
     counts = materialise(load_counts(spark, d), "value-counts")
     coverage = expression_coverage(counts, induce_expressions(counts)[1])
     return coverage_drift(coverage, F.regexp_extract("load_prefix", r"^([^/]*/[^/]*)/", 1))

@@ -63,3 +63,16 @@ def test_special_characters_and_empty(spark):
         if r["shape"] is not None:
             assert re.fullmatch(texts[r["shape"]], r["value"].replace("é", "e").replace("ü", "u"))
     assert column_profile(value_counts(odd.limit(0), "v", F.lit("l"))).count() == 0
+
+
+def test_drift_of_columns_that_become_null(spark):
+    loads = {"m/a/1": ["12", "34"], "m/a/2": [None, None], "m/a/3": ["56", None], "m/b/1": [None, None], "m/b/2": [None, None]}
+    df = spark.createDataFrame([(k, v, "x") for k, vs in loads.items() for v in vs], "load string, c string, k string")
+    counts = value_counts(df, "v", F.col("load"), ["load"])
+    d = coverage_drift(expression_coverage(counts, induce_expressions(counts)[1]), F.substring("load_prefix", 1, 3))
+    got = {(r["load_prefix"], r["column_name"]): (r["distance"], r["n_new_expressions"], r["null_share"], r["null_change"]) for r in d.collect()}
+    same = (0.0, 0, 0.0, 0.0)
+    assert got == {
+        ("m/a/2", "c"): (1.0, 0, 1.0, 1.0), ("m/a/3", "c"): (0.5, 1, 0.5, -0.5), ("m/b/2", "c"): (0.0, 0, 1.0, 0.0),
+        ("m/a/2", "k"): same, ("m/a/3", "k"): same, ("m/b/2", "k"): same,
+    }
