@@ -88,15 +88,17 @@ def p4_versions(spark: SparkSession, d: str) -> DataFrame:
 def _unified(spark: SparkSession, d: str, source: str, target: str) -> DataFrame:
     fields = explode_fields(table(spark, d, "raw_records").where(F.col("filename").startswith(source + "/")))
     schema = T.StructType([f for f in table(spark, d, target).schema if f.name != "filename"])
-    return unify(fields, schema_changes(fields), schema).drop("extra")
+    return unify(fields, schema_changes(fields), schema)
 
 
 def p4_matches(spark: SparkSession, d: str) -> DataFrame:
-    """All match records under the fields that matches_raw has."""
+    """All match records under the fields that matches_raw has, and those that files add
+    beyond them as the map `extra` of JSON values."""
     return _unified(spark, d, "matches", "matches_raw")
 
 
 def p4_players(spark: SparkSession, d: str) -> DataFrame:
+    """The same of player records and players_raw."""
     return _unified(spark, d, "players", "players_raw")
 
 

@@ -114,15 +114,17 @@ def unify(fields: DataFrame, changes: DataFrame, target: T.StructType, default:
     """One row per record with the columns of `target` (names as the first file of a
     chain has them), dir, filename, line_no and `extra` (a map of fields beyond the
     target, as JSON). A value that can't be cast to the target's type is null; a field
-    that a record lacks has its `default`, else null. A repeated line counts once."""
+    that a record lacks has its `default`, else null. A repeated line counts once; of
+    several values of a field in one line the greatest text is taken."""
     routes = field_routes(fields, changes)
     f = fields.join(routes, ["filename", "field"], "left").withColumn("field", F.coalesce("origin", "field"))
     plain = F.when(F.col("text").startswith('"'), F.get_json_object(F.concat(F.lit('{"a":'), "text", F.lit("}")), "$.a")).when(F.col("text") != "null", F.col("text"))
     f = f.withColumn("plain", plain)
     names = target.fieldNames()
     known = [F.max(F.when(F.col("field") == c, F.col("plain"))).alias(c) for c in names]
-    extra = F.map_from_entries(F.array_sort(F.collect_set(F.when(~F.col("field").isin(names), F.struct("field", "text"))))).alias("extra")
-    wide = f.groupBy("dir", "filename", "line_no").agg(*known, extra)
+    beyond = F.array_sort(F.collect_set(F.when(~F.col("field").isin(names), F.struct("field", "text"))))
+    last = F.filter("beyond", lambda x, i: (i == F.size("beyond") - 1) | (F.get("beyond", i + 1)["field"] != x["field"]))
+    wide = f.groupBy("dir", "filename", "line_no").agg(*known, beyond.alias("beyond")).withColumn("extra", F.map_from_entries(last))
 
     def cast(field: T.StructField) -> Column:
         c = F.col(field.name)

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import types as T
 
+from matchloom.plans.data_problems import p4_matches, p4_players
 from matchloom.sources.drift import explode_fields, fingerprints, schema_changes, unify
 
 FILES = [
@@ -46,3 +47,21 @@ def test_ties_and_empty(spark):
     got = {tuple(r)[1:] for r in schema_changes(f).select("filename", "change", "field", "new_field").collect()}
     assert got == {("renamed", "a", "c"), ("renamed", "b", "d")}
     assert schema_changes(f.limit(0)).count() == 0
+
+
+def test_added_fields_stay(spark, tmp_path):
+    """Fields beyond the loaded tables' keep their values, through a renaming too."""
+    files = [
+        ("1", [{"matchId": 1, "profile_id": 1}, {"matchId": 2, "profile_id": 2}]),
+        ("2", [{"matchId": 1, "profile_id": 1, "seen": 3}, {"matchId": 2, "profile_id": 2, "seen": None}, {"matchId": 3, "profile_id": 3, "seen": 4}]),
+        ("3", [{"matchId": 2, "profile_id": 2, "watched": None}, {"matchId": 3, "profile_id": 3, "watched": 4}, {"matchId": 4, "profile_id": 4, "watched": 5}]),
+    ]
+    rows = [(f"{s}/f/{n}", i + 1, json.dumps(r)) for s in ("matches", "players") for n, rs in files for i, r in enumerate(rs)]
+    rows.append(("matches/f/3", 3, json.dumps({"matchId": 4, "watched": 6})))
+    spark.createDataFrame(rows, "filename string, line_no int, record string").write.parquet(f"{tmp_path}/raw_records.parquet")
+    for name, ddl in (("matches_raw", "matchId int, filename string"), ("players_raw", "profile_id double, filename string")):
+        spark.createDataFrame([], ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    for query, last, other in ((p4_matches, "6", "profile_id"), (p4_players, "5", "matchId")):
+        got = {(r["filename"][-1], r["line_no"]): r["extra"] for r in query(spark, str(tmp_path)).collect()}
+        assert [got[k].get("seen") for k in sorted(got)] == [None, None, "3", "null", "4", "null", "4", last]
+        assert all(v[other] for v in got.values())
