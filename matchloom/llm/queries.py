@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from matchloom.llm.leaks import find_leaks
 from matchloom.llm.names import account_pairs, link_accounts
 from matchloom.llm.packing import pack, token_counts
-from matchloom.llm.reading import reading_levels
+from matchloom.llm.reading import detect_languages, reading_levels
 from matchloom.llm.ranking import luce_strengths
-from matchloom.session import table
+from matchloom.session import materialise, table
 
 
 def duel_results(spark: SparkSession, d: str) -> DataFrame:
@@ -73,13 +73,23 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_levels(spark: SparkSession, d: str) -> DataFrame:
-    """Difficulty and reading level of every English document."""
-    docs = table(spark, d, "documents").where("lang = 'en'")
-    return reading_levels(docs, table(spark, d, "reading_labels"))
+    """Difficulty and reading level of every document. The scale is that of the English
+    documents, where labels are; documents without a language are placed on it if their
+    words are English. All others have level null, and `reason` says why."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang").where("doc_id is not null")
+    unknown = materialise(docs.where("lang is null").join(detect_languages(docs), "doc_id", "left"), "detected")
+    levels = reading_levels(docs.where("lang = 'en'"), table(spark, d, "reading_labels"), also=unknown.where("detected = 'en'"))
+    levels = levels.select("*", F.lit("en").alias("language"))
+    rest = docs.where("lang <> 'en'").select("doc_id", F.col("lang").alias("language"))
+    rest = rest.unionByName(unknown.where("detected is null or detected <> 'en'").select("doc_id", F.col("detected").alias("language")))
+    out = levels.unionByName(rest, allowMissingColumns=True)
+    why = F.when(F.col("level").isNotNull(), None).when(F.col("language").isNull(), "language unknown").when(F.col("language") == "en", "no words to go by")
+    return out.withColumn("reason", why.otherwise("no labels in this language"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return p10_levels(spark, d).where("level = 5").select("doc_id")
+    docs = table(spark, d, "documents").where("lang = 'en'")
+    return reading_levels(docs, table(spark, d, "reading_labels")).where("level = 5").select("doc_id")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_strengths, p7_found, p7_people, p8_pack, p8_containers, p9_found, p9_leaks, p10_found, p10_levels)}

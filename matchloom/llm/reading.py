@@ -19,8 +19,9 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from matchloom.session import materialise
 
@@ -68,6 +69,25 @@ def _word_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return materialise(docs.select(doc_id, text).mapInArrow(run, f"doc {kind}, words array<string>, ns array<int>"), "tokens")
 
 
+def _word_rows(df: DataFrame, *keep: Column | str) -> DataFrame:
+    """A row for each word of what _word_counts gives."""
+    return df.select(*keep, F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("ns").alias("n"))))
+
+
+def detect_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(doc_id, detected) for the texts without `lang`: the language whose texts make
+    their words likeliest. A word's probability in a language is nine tenths its share
+    there and one tenth its share over all, languages counting alike whatever their size.
+    Texts without a word that occurs in a text with `lang` give no row."""
+    by = _word_rows(_word_counts(docs.where(F.col(lang).isNotNull()), lang, text), F.col("doc").alias("detected"))
+    by = materialise(by.groupBy("detected", "word").agg(F.sum("n").alias("c")), "language-words")
+    by = by.join(F.broadcast(by.groupBy("detected").agg(F.sum("c").alias("total"))), "detected").withColumn("share", F.col("c") / F.col("total"))
+    by = by.withColumn("gain", F.log1p(9 * F.col("share") / F.sum("share").over(Window.partitionBy("word"))))
+    unknown = _word_rows(_word_counts(docs.where(F.col(lang).isNull() & F.col(doc_id).isNotNull()), doc_id, text), "doc")
+    gains = unknown.join(by, "word").groupBy("doc", "detected").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
+    return gains.groupBy(F.col("doc").alias(doc_id)).agg(F.max_by("detected", F.struct("gain", "detected")).alias("detected"))
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     """df, to be broadcast if it has few rows; else joins shuffle it."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -141,7 +161,7 @@ def _cuts(by_label: dict[int, dict[int, int]], density: np.ndarray) -> list[floa
     return out
 
 
-def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "level", rounds: int = 3) -> DataFrame:
+def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "level", rounds: int = 3, also: DataFrame | None = None) -> DataFrame:
     """(doc_id, difficulty, level) for every document of `docs`: the latent level as a
     number, and the label scale's level 1 to 5.
 
@@ -149,26 +169,40 @@ def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     level, several of one document allowed; those of documents that aren't in `docs`,
     and null ones, don't count. At least one label must be there if there is a word.
     Empty, null and wordless texts, and those of rare words only, have difficulty and
-    level null. All texts take part in full."""
+    level null. All texts take part in full. Texts of `also` (same language and columns,
+    other ids) get their rows by the fitted words but don't take part in the fit."""
     ids = docs.schema[doc_id].dataType.simpleString()
     d = docs.select(doc_id, text).where(F.col(doc_id).isNotNull())
     docs_words = _word_counts(d, doc_id, text)
-    rows = lambda df, *keep: df.select(*keep, F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("ns").alias("n"))))
     # frequent words have their rows spread over several keys; how many is a matter of counts only
-    hot = rows(docs_words).groupBy("word").agg(F.ceil(F.count("*") / ROWS_PER_KEY).cast("int").alias("salts")).where("salts > 1")
+    hot = _word_rows(docs_words).groupBy("word").agg(F.ceil(F.count("*") / ROWS_PER_KEY).cast("int").alias("salts")).where("salts > 1")
     hot = materialise(hot, "hot-words")
     lab = labels.select(F.col(doc_id).alias("doc"), F.col(label).cast("int").alias("label")).where("doc is not null and label between 1 and 5")
     anchors = materialise(lab.groupBy("doc").agg(F.avg("label").alias("t")).join(docs_words.select("doc"), "doc", "left_semi"), "anchors")
-    none = d.select(doc_id, F.lit(None).cast("double").alias("difficulty"), F.lit(None).cast("int").alias("level"))
+    more = None if also is None else also.select(doc_id, text).where(F.col(doc_id).isNotNull())
+    every = d if more is None else d.unionByName(more)
+    none = every.select(doc_id, F.lit(None).cast("double").alias("difficulty"), F.lit(None).cast("int").alias("level"))
     if anchors.isEmpty():
         if not docs_words.isEmpty():
             raise ValueError("no document has a label")
         return none
     placed, log_z = anchors, np.zeros(len(GRID))
     kind = "string" if ids == "string" else ids
+
+    def place(docs_words: DataFrame, words: DataFrame, fine: np.ndarray) -> DataFrame:
+        if words.count() <= SMALL:
+            scored = _word_rows(docs_words, "doc").join(F.broadcast(words.select("word", "b")), "word")
+        else:
+            spread = words.select("word", "b").join(_small(hot, SMALL), "word", "left").select("word", "b", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+            salted = _word_rows(docs_words, "doc").join(_small(hot, SMALL), "word", "left")
+            salted = salted.withColumn("salt", F.pmod(F.xxhash64("doc"), F.coalesce("salts", F.lit(1))).cast("int"))
+            scored = salted.join(spread, ["word", "salt"])
+        means = scored.groupBy("doc").agg(F.sum(F.col("n") * F.col("b")).alias("s"), F.sum("n").cast("double").alias("n"))
+        return materialise(means.mapInArrow(_place(fine), f"doc {kind}, t double"), "levels")
+
     for _ in range(rounds):
         grid = F.least(F.greatest(F.round((F.col("t") - float(GRID[0])) / float(GRID[1] - GRID[0])), F.lit(0.0)), F.lit(len(GRID) - 1.0)).cast("int")
-        by = rows(docs_words.join(placed.select("doc", grid.alias("g")), "doc"), "g")
+        by = _word_rows(docs_words.join(placed.select("doc", grid.alias("g")), "doc"), "g")
         counts = by.groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("g") == k, F.col("n"))), F.lit(0)).alias(f"c{k}") for k in range(len(GRID))])
         counts = materialise(counts.where(reduce(lambda x, y: x + y, [F.col(f"c{k}") for k in range(len(GRID))]) >= LEAST), "by-level")
         exposure = np.array(counts.agg(*[F.sum(f"c{k}") for k in range(len(GRID))]).first(), float)
@@ -176,15 +210,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
         z = np.sum([r["z"] for r in words.select("b", "a").mapInArrow(_partition_sums, "z array<double>").collect()], axis=0)
         fine = np.log(z)
         log_z = np.interp(GRID, FINE, fine)
-        if words.count() <= SMALL:
-            scored = rows(docs_words, "doc").join(F.broadcast(words.select("word", "b")), "word")
-        else:
-            spread = words.select("word", "b").join(_small(hot, SMALL), "word", "left").select("word", "b", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-            salted = rows(docs_words, "doc").join(_small(hot, SMALL), "word", "left")
-            salted = salted.withColumn("salt", F.pmod(F.xxhash64("doc"), F.coalesce("salts", F.lit(1))).cast("int"))
-            scored = salted.join(spread, ["word", "salt"])
-        means = scored.groupBy("doc").agg(F.sum(F.col("n") * F.col("b")).alias("s"), F.sum("n").cast("double").alias("n"))
-        levels = materialise(means.mapInArrow(_place(fine), f"doc {kind}, t double"), "levels")
+        levels = place(docs_words, words, fine)
         placed = levels.join(anchors.select("doc", F.col("t").alias("held")), "doc", "left").select("doc", F.coalesce("held", "t").alias("t"))
     bin_ = F.round((F.col("t") - float(FINE[0])) / STEP).cast("int")
     density = np.zeros(len(FINE))
@@ -196,5 +222,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     level = F.lit(1)
     for cut in _cuts(by_label, density):
         level = level + (F.col("t") >= cut).cast("int")
+    if more is not None:
+        levels = levels.unionByName(place(_word_counts(more, doc_id, text), words, fine))
     out = levels.select(F.col("doc").alias(doc_id), F.col("t").alias("difficulty"), level.alias("level"))
-    return d.select(doc_id).join(out, doc_id, "left")
+    return every.select(doc_id).join(out, doc_id, "left")

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from matchloom.llm.queries import p10_found, p10_levels
 from matchloom.llm.reading import reading_levels
 
 WORDS = {level: [f"{c}{x}{y}" for c in cs for x in "aeiou" for y in ("la", "mo", "ri")] for level, cs in {1: "bd", 2: "fg", 3: "hk", 4: "ln", 5: "rs"}.items()}
@@ -51,3 +52,21 @@ def test_no_labels_and_empty(spark):
     assert reading_levels(spark.createDataFrame([], "doc_id bigint, text string"), none).count() == 0
     with pytest.raises(ValueError):
         reading_levels(spark.createDataFrame([(1, "word word word")], "doc_id bigint, text string"), none)
+
+
+def test_every_document_has_a_row(spark, tmp_path):
+    r = random.Random(6)
+    true, docs = corpus(r, 120)
+    german = lambda: " ".join(r.choice(["und", "der", "nicht", "the", "mit", "einheit"]) for _ in range(40))
+    rows = [(i, t, "en") for i, t in docs] + [(200 + i, german(), "de") for i in range(10)]
+    rows += [(300 + k, text(r, k, 60), None) for k in (1, 5)] + [(400, german(), None), (401, "", None), (402, None, None), (403, "", "en"), (404, "zzqq", None), (None, "the", "en")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, true[i]) for i in range(80)], "doc_id bigint, level int").write.parquet(f"{tmp_path}/reading_labels.parquet")
+    got = {x["doc_id"]: x for x in p10_levels(spark, str(tmp_path)).collect()}
+    assert sorted(got) == sorted(x[0] for x in rows if x[0] is not None)
+    assert all((x["level"] is None) == (x["reason"] is not None) == (x["difficulty"] is None) for x in got.values())
+    assert (got[301]["level"], got[305]["level"]) == (1, 5) and got[301]["language"] == "en"
+    assert {got[i]["reason"] for i in (200, 400)} == {"no labels in this language"} and got[400]["language"] == "de"
+    assert {got[i]["reason"] for i in (401, 402, 404)} == {"language unknown"} and got[403]["reason"] == "no words to go by"
+    five = {x["doc_id"] for x in p10_found(spark, str(tmp_path)).collect()}
+    assert five == {i for i, x in got.items() if x["level"] == 5 and i < 200}
