@@ -170,15 +170,20 @@ def name_readings(nicks: DataFrame, forms: dict[str, str]) -> DataFrame:
 
 def _persons(full: DataFrame, close: DataFrame) -> DataFrame:
     """(given, family, pf): each full name typed, with the family name that the person
-    goes by: its own, or that of a commoner full name within one edit. full: given,
-    family, spellings (nicknames), bearers (accounts)."""
+    goes by: its own, or that of a commoner full name within one edit, and so on from
+    there to the end. full: given, family, spellings (nicknames), bearers (accounts)."""
     full = full.withColumn("weight", F.struct("spellings", "bearers", "family"))
     near = full.select("given", "family", "weight").join(close.select(F.col("name").alias("family"), "other"), "family")
     better = near.join(full.select("given", F.col("family").alias("other"), F.col("weight").alias("w2")), ["given", "other"]).where("w2 > weight")
     better = better.groupBy("given", "family").agg(F.max_by("other", "w2").alias("better"))
-    full = full.select("given", "family").join(better, ["given", "family"], "left")
-    hop = full.select("given", F.col("family").alias("better"), F.col("better").alias("best"))
-    return full.join(hop, ["given", "better"], "left").select("given", "family", F.coalesce("best", "better", "family").alias("pf"))
+    to = full.select("given", "family").join(better, ["given", "family"], "left").select("given", "family", F.coalesce("better", "family").alias("pf"), F.lit(True).alias("moved"))
+    # each round doubles the steps taken; they lead to ever commoner names, so that they end
+    while True:
+        to = materialise(to, "goes-by")
+        if to.where("moved").isEmpty():
+            return to.drop("moved")
+        hop = to.select("given", F.col("family").alias("pf"), F.col("pf").alias("next"))
+        to = to.join(hop, ["given", "pf"]).select("given", "family", F.col("next").alias("pf"), (F.col("next") != F.col("pf")).alias("moved"))
 
 
 def _fit(vague: DataFrame, persons: DataFrame, close: DataFrame) -> DataFrame:
@@ -215,12 +220,12 @@ def link_accounts(accounts: DataFrame, forms: dict[str, str], account: str, nick
     told = lambda tier, df: df.select("account", "n", F.lit(tier).alias("tier"), "person")
     # full names
     full = uses.where("given is not null")
-    persons = materialise(_persons(weigh(full), close), "persons")
+    persons = _persons(weigh(full), close)
     out = [told(0, full.join(persons, ["given", "family"]).withColumn("person", F.concat_ws(" ", "given", "pf")))]
     # an initial and a family name
     fits = materialise(_fit(vague("given is null and cost = 0"), persons, close), "initials")
     alone = uses.join(fits.where("d is null").select("nickname", "initial", "family"), ["nickname", "initial", "family"]).withColumn("given", F.concat("initial", F.lit(".")))
-    extra = materialise(_persons(weigh(alone), close), "persons")
+    extra = _persons(weigh(alone), close)
     out.append(told(1, uses.join(fits.where("person is not null").select("nickname", "initial", "family", "person"), ["nickname", "initial", "family"])))
     out.append(told(1, alone.join(extra, ["given", "family"]).withColumn("person", F.concat_ws(" ", "given", "pf"))))
     # one word

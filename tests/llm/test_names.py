@@ -100,3 +100,10 @@ def test_pairs_and_empty(spark):
     links = spark.createDataFrame([("x", "p"), ("y", "p"), ("z", "p"), ("w", "q")], "account string, person string")
     assert sorted(map(tuple, account_pairs(links).collect())) == [("x", "y"), ("x", "z"), ("y", "z")]
     assert link(spark, []) == {}
+
+
+def test_chain_of_spellings(spark):
+    chain = ["dipirikadu", "dipirikado", "dipirisado", "diporisado", "diporimado", "ditorimado"]
+    shapes = ["Lysandrel {}", "{}, Lysandrel", "Lys {}", "[X]Lys {}", "{}_lysandrel", "Lysandrel.{}71"]
+    rows = [(f"a{i}{k}", shape.format(family)) for i, family in enumerate(chain) for k, shape in enumerate(shapes[: i + 1])]
+    assert set(link(spark, rows).values()) == {"lysandrel ditorimado"}
