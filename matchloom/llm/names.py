@@ -1,56 +1,75 @@
 """Variant spellings of people's names, linked by a trie join.
 
-A typed name is normalised and split into tokens; in either order of the tokens, one is
-the given name (in full, short or an initial) and the other the family name. Distinct
-family names are sharded by their first or last letters, so that any two within the
-bounded distance meet in a shard; each shard is a trie that a Levenshtein automaton of
-every name is run through.
+A typed name is normalised and split into tokens, in any script and of any number. One
+token is the given name (in full, short or an initial) and the others, in whatever order
+they stand, are the family name; where no token is a listed given name, the tokens
+together are the name. A name's tokens are kept sorted, so that every order of them is
+the same name. Two names are neighbours if all tokens but one agree and that one is
+within one edit: the names are sharded by what must then agree, each shard is a trie,
+and a Levenshtein automaton of every name is run through it.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from matchloom.session import materialise
+from matchloom.session import discard, materialise
 
 #: Letters that digits and signs stand for.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+#: Letters without a decomposition, as they are written in plain letters.
+PLAIN = str.maketrans({"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th", "ħ": "h", "Ħ": "H", "ı": "i", "ß": "ss", "ẞ": "SS"})
 #: Names shorter than this must agree exactly; longer ones may differ by one edit.
 FUZZY_FROM = 5
-#: Names that probe one copy of a shard's trie.
-PROBES = 5_000
+#: Names that a shard's trie holds at most, unless they differ in two letters at one place only.
+TRIE = 2_000
+
+_TAG = regex.compile(r"^\s*[\[(<{][^\])>}]*[\])>}]\s*")
+_BARS = regex.compile(r"[Il1|\s]*")
+_APART = regex.compile(r"[._ ]")
+_NUMBER = regex.compile(r"(?<=\p{L})[0-9]+$")
+_WORDS = regex.compile(r"[\p{L}\p{M}\p{N}@$!]+")
+_HUMPS = regex.compile(r"\p{Lu}?[\p{Ll}\p{Lo}\p{Lm}\p{M}0-9@$!]+|[\p{Lu}0-9@$!]+(?!\p{Ll})|\p{Lu}")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def plain_letters(text: str) -> str:
     """Without marks on letters, in compatibility form."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFKD", text.translate(PLAIN)) if not unicodedata.combining(c)))
+
 
+def _letters(part: str) -> str:
+    """A word in lower case, digits and signs among its letters read as the letters they
+    look like; what still isn't a letter is dropped, and digits at the end if one of them
+    looks like none. '' if there is no letter."""
+    if not regex.search(r"\p{L}", part):
+        return ""
+    end = _NUMBER.search(part)
+    if end and not set(end.group()) <= LOOKALIKES.keys():
+        part = part[: end.start()]
+    return _OTHER.sub("", "".join(LOOKALIKES.get(c, c) for c in part.lower()))
 
-def tokens(nickname: str) -> list[str]:
+
+def tokens(nickname: str, humps: bool = True) -> list[str]:
     """A nickname's words in lower case, in the order typed. A bracketed tag in front and
-    digits behind a separated name are dropped, digits among letters are read as the
-    letters they look like. Nothing remains of a name made of bars only (I, l, 1)."""
-    s = re.sub(r"^\s*[\[(<{][^\])>}]*[\])>}]\s*", "", plain_letters(nickname)).strip()
-    if re.fullmatch(r"[Il1|\s]*", s):
+    digits behind a separated name are dropped. A name typed without separators is cut
+    before capitals (with `humps`). Nothing remains of a name made of bars only (I, l, 1)."""
+    s = _TAG.sub("", plain_letters(nickname)).strip()
+    if _BARS.fullmatch(s):
         return []
-    if re.search(r"[._ ]", s):
-        s = re.sub(r"(?<=[A-Za-z])\d+$", "", s)
-    out = []
-    for word in re.split(r"[^\w@$!]+|_", s):
-        for part in re.findall(r"[A-Z]?[a-z0-9@$!]+|[A-Z0-9@$!]+(?![a-z])|[A-Z]", word) or []:
-            part = "".join(LOOKALIKES.get(c, c) for c in part.lower())
-            if part.isalpha():
-                out.append(part)
-    return out
+    if _APART.search(s):
+        s = _NUMBER.sub("", s)
+    words = _WORDS.findall(s)
+    if humps and len(words) == 1:
+        words = _HUMPS.findall(words[0])
+    return [x for x in map(_letters, words) if x]
 
 
 class Trie:
@@ -87,37 +106,95 @@ class Trie:
         return out
 
 
-def _shards(name: Column) -> Column:
-    """Shards in which two names within one edit are sure to meet: an edit leaves either
-    the first or the last letters alone. Two letters up to length 7, three from 7 on."""
-    n = F.length(name)
-    ends = lambda k: [F.concat(F.lit(f"{k}^"), F.left(name, F.lit(k))), F.concat(F.lit(f"{k}$"), F.right(name, F.lit(k)))]
-    keys = [F.when(n.between(FUZZY_FROM - 1, 7), k) for k in ends(2)] + [F.when(n >= 7, k) for k in ends(3)]
-    return F.array_compact(F.array(*keys))
+def _halves(df: DataFrame) -> DataFrame:
+    """Windows of half the width for rows that have one (i, j): between two words of
+    length `n0`, or of n0 and n0 + 1, an edit within the window lies in one of its
+    halves, which overlap by a letter as a swap takes two. Outside of the window the
+    words agree, which is the key of the row's shard."""
+    middle = F.expr("i + (j - i + 2) div 2")
+    df = df.withColumn("half", F.explode(F.array(F.struct(F.col("i").alias("i"), middle.alias("j")), F.struct((middle - 1).alias("i"), F.col("j").alias("j")))))
+    df = df.select("name", "rest", "word", "n0", F.col("half.i").alias("i"), F.col("half.j").alias("j"))
+    left, right = F.expr("substring(word, 1, i)"), F.expr("right(word, n0 - j)")
+    return df.withColumn("shard", F.concat_ws("\x1f", "rest", "n0", "i", "j", left, right))
+
+
+def _run_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, n0, word, name) in the order of shards: a trie for each shard, and
+    every word of the shorter length run through it."""
+
+    def shard(n0: int, rows: list[tuple[str, str]]) -> Iterator[tuple[str, str, int]]:
+        probes = {w: name for w, name in rows if len(w) == n0}
+        if probes and len(rows) > 1:
+            names = dict(rows)
+            trie = Trie(names)
+            for w, name in probes.items():
+                for o, d in trie.near(w):
+                    if d and max(len(w), len(o)) >= FUZZY_FROM:
+                        yield name, names[o], d
+                        yield names[o], name, d
+
+    key, n0, held, out = None, 0, [], []
+    for b in batches:
+        for k, n, w, name in zip(*(b.column(i).to_pylist() for i in range(4))):
+            if k != key:
+                out.extend(shard(n0, held))
+                key, n0, held = k, n, []
+            held.append((w, name))
+        if len(out) > 10_000:
+            yield _pairs(out)
+            out = []
+    out.extend(shard(n0, held))
+    yield _pairs(out)
+
+
+def _pairs(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.string(), pa.int32()])], names=["name", "other", "distance"])
 
 
 def trie_join(names: DataFrame, name: str = "name") -> DataFrame:
-    """(name, other, distance): every pair of distinct names within one edit, both
-    directions; names shorter than 5 letters pair with longer ones only.
-
-    A shard with many names is probed in parts, each against a copy of its trie."""
-    n = names.select(F.col(name).alias("name")).where("name is not null").distinct()
-    keyed = n.select("name", F.explode(_shards(F.col("name"))).alias("shard"))
-    size = keyed.groupBy("shard").agg(F.count("*").alias("n"), F.ceil(F.count("*") / PROBES).cast("int").alias("parts")).where("n > 1")
-    keyed = keyed.join(size, "shard")
-    probes = keyed.select("shard", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part"), "name", F.lit(True).alias("probe"))
-    trie = keyed.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "name", F.lit(False).alias("probe"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = Trie(pdf.loc[~pdf["probe"], "name"])
-        rows = [(w, o, d) for w in pdf.loc[pdf["probe"], "name"] for o, d in t.near(w) if d and max(len(w), len(o)) >= FUZZY_FROM]
-        return pd.DataFrame(rows, columns=["name", "other", "distance"])
-
-    return probes.unionByName(trie).groupBy("shard", "part").applyInPandas(run, "name string, other string, distance int").distinct()
+    """(name, other, distance): every pair of distinct names of which all tokens but one
+    agree and that one is within one edit, in both directions. Tokens are separated by
+    spaces and sorted; tokens shorter than 5 letters pair with longer ones only. Null and
+    empty names pair with nothing.
+
+    A shard holds names that agree in all but a window of one token. A shard of more than
+    TRIE names is cut into shards of narrower windows, until it is small or the window is
+    two letters wide; no pair is lost by it, as an edit lies in one of the windows."""
+    n = names.select(F.col(name).alias("name")).where("name <> ''").distinct()
+    ts = F.split("name", " ")
+    n = n.select("name", F.posexplode(ts).alias("at", "word"), ts.alias("ts"))
+    n = n.select("name", F.array_join(F.filter("ts", lambda x, i: i != F.col("at")), " ").alias("rest"), "word", F.length("word").alias("n")).where(F.col("n") >= FUZZY_FROM - 1)
+    n = n.select("name", "rest", "word", F.explode(F.array(F.col("n") - 1, F.col("n"))).alias("n0")).where(F.col("n0") >= FUZZY_FROM - 1)
+    level, done, kept = _halves(n.withColumn("i", F.lit(0)).withColumn("j", F.col("n0"))), [], []
+    while True:
+        level = materialise(level, "shards")
+        kept.append(level)
+        large = level.groupBy("shard").agg(F.count("*").alias("n"), F.first("i").alias("i"), F.first("j").alias("j")).where((F.col("n") > TRIE) & (F.col("j") - F.col("i") > 2)).select("shard")
+        large = materialise(large, "large-shards")
+        kept.append(large)
+        if large.isEmpty():
+            done.append(level)
+            break
+        done.append(level.join(large, "shard", "left_anti"))
+        level = _halves(level.join(large, "shard", "left_semi"))
+    rows = reduce(DataFrame.unionByName, done).select("shard", "n0", "word", "name")
+    rows = rows.repartition("shard").sortWithinPartitions("shard")
+    pairs = materialise(rows.mapInArrow(_run_tries, "name string, other string, distance int").distinct(), "near-names")
+    for t in kept:
+        discard(t)
+    return pairs
+
+
+#: How telling a reading is: a listed given name and a family name, or all words of a
+#: separated name; an initial and a family name; one word; words cut at capitals; one
+#: word of which the first letter is an initial.
+FULL, INITIAL, WORD, HUMPS, RUN = 0, 1, 2, 3, 4
 
 
 def _readings(given: dict[str, str]):
-    """(nick) -> readings (given, initial, family, cost), most plausible ones only."""
+    """(nick) -> readings (kind, given, initial, family), most plausible ones only. The
+    tokens of a family name are sorted; given is '' for a whole name."""
     full = Trie({k for k in given if len(k) >= FUZZY_FROM})
     known: dict[str, tuple[str, int] | None] = {}
 
@@ -131,41 +208,49 @@ def _readings(given: dict[str, str]):
                 known[t] = (near.pop(), 1) if len(near) == 1 else None
         return known[t]
 
-    def read(nick: str) -> list[tuple[str | None, str | None, str, int]]:
-        ts = tokens(nick)
+    def initial(t: str) -> bool:
+        return len(t) == 1 and t.upper() != t  # scripts without case have names of one letter
+
+    def read(nick: str) -> list[tuple[int, str, str, str]]:
+        ts, whole = tokens(nick), tokens(nick, humps=False)
+        words = [t for t in ts if not initial(t)]
+        out: list[tuple[int, str, str, str]] = []
         if len(ts) == 1:
             w = ts[0]
-            out = [(None, None, w, 1)] if len(w) > 1 else []
-            return out + ([(None, w[0], w[1:], 2)] if len(w) > 2 else [])
-        if len(ts) != 2:
-            return []
-        out = []
-        for g, f in (ts, ts[::-1]):  # both orders
-            if len(f) < 2:
-                continue
-            if len(g) == 1:
-                out.append((None, g, f, 0))
-            elif (m := name(g)) is not None:
-                out.append((m[0], m[0][0], f, m[1]))
-        if not out:  # a given name that isn't listed: as typed, given name first
-            out.append((ts[0], ts[0][0], ts[1], 3))
-        least = min(x[3] for x in out)
-        return [x for x in out if x[3] == least]
+            return [(WORD, "", "", w), *([(RUN, "", w[0], w[1:])] if len(w) > 2 and initial(w[0]) else [])] if words else []
+        if len(words) > 1:  # any token may be the given name, the others are the family name
+            options = [(m[1], m[0], " ".join(sorted(words[:i] + words[i + 1 :]))) for i, w in enumerate(words) if (m := name(w)) is not None]
+            least = min((o[0] for o in options), default=0)
+            out = [(FULL, g, g[0], f) for c, g, f in options if c == least]
+        if not out and words and (initial(ts[0]) or initial(ts[-1])):
+            out = [(INITIAL, "", ts[0] if initial(ts[0]) else ts[-1], " ".join(sorted(words)))]
+        if not out and len(words) > 1:  # initials in between don't count
+            out = [(FULL if len(whole) > 1 else HUMPS, "", "", " ".join(sorted(words)))]
+        if not out and len(ts) > 1:
+            out = [(FULL if len(whole) > 1 else HUMPS, "", "", " ".join(sorted(ts)))]
+        if out and len(whole) == 1 and out[0][0] == HUMPS and len(whole[0]) > 1:
+            out.append((WORD, "", "", whole[0]))
+        return list(dict.fromkeys(out))
 
     return read
 
 
-def name_readings(nicks: DataFrame, forms: dict[str, str]) -> DataFrame:
-    """(nickname, given, initial, family, cost) for each distinct nickname."""
+_USES = "account string, nickname string, n bigint, kind int, given string, initial string, family string"
+
+
+def name_readings(uses: DataFrame, forms: dict[str, str]) -> DataFrame:
+    """uses (account, nickname, n) with each reading of the nickname: kind, given,
+    initial, family."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = _readings(forms)
+        types = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
         for b in batches:
-            rows = [(n, *r) for n in b.column(0).to_pylist() for r in read(n)]
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 4 + [pa.int32()])], names=["nickname", "given", "initial", "family", "cost"])
+            rows = [(a, n, k, *r) for a, n, k in zip(*(b.column(i).to_pylist() for i in range(3))) for r in read(n)]
+            cols = list(zip(*rows)) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in _USES.split(", ")])
 
-    return nicks.select("nickname").where("nickname is not null").distinct().mapInArrow(run, "nickname string, given string, initial string, family string, cost int")
+    return uses.select("account", "nickname", "n").mapInArrow(run, _USES)
 
 
 def _persons(full: DataFrame, close: DataFrame) -> DataFrame:
@@ -178,65 +263,92 @@ def _persons(full: DataFrame, close: DataFrame) -> DataFrame:
     better = better.groupBy("given", "family").agg(F.max_by("other", "w2").alias("better"))
     to = full.select("given", "family").join(better, ["given", "family"], "left").select("given", "family", F.coalesce("better", "family").alias("pf"), F.lit(True).alias("moved"))
     # each round doubles the steps taken; they lead to ever commoner names, so that they end
+    before = None
     while True:
         to = materialise(to, "goes-by")
+        if before is not None:
+            discard(before)
+        before = to
         if to.where("moved").isEmpty():
             return to.drop("moved")
         hop = to.select("given", F.col("family").alias("pf"), F.col("pf").alias("next"))
         to = to.join(hop, ["given", "pf"]).select("given", "family", F.col("next").alias("pf"), (F.col("next") != F.col("pf")).alias("moved"))
 
 
-def _fit(vague: DataFrame, persons: DataFrame, close: DataFrame) -> DataFrame:
-    """vague (nickname, initial, family) with d, the distance of the persons it fits best
-    (null: none), and person, their name if it is just one."""
+def _bearers(persons: DataFrame) -> DataFrame:
+    """(family, i, lo, hi): the least and the greatest person who bears the family name
+    and a given name with initial i ('': any). Of a whole name each token may be the
+    given one. They are one person if lo = hi."""
+    p = persons.select("given", "pf").distinct()
+    ts = F.split("pf", " ")
+    named = p.where("given <> ''").select(F.col("pf").alias("family"), F.substring("given", 1, 1).alias("i"), F.concat_ws(" ", "given", "pf").alias("person"))
+    whole = p.where("given = ''").select(F.posexplode(ts).alias("at", "g"), ts.alias("ts"), F.col("pf").alias("person"))
+    whole = whole.select(F.array_join(F.filter("ts", lambda x, k: k != F.col("at")), " ").alias("family"), F.substring("g", 1, 1).alias("i"), "person").where("family <> ''")
+    by = named.unionByName(whole)
+    by = by.select("family", F.explode(F.array(F.col("i"), F.lit(""))).alias("i"), "person")
+    return by.groupBy("family", "i").agg(F.min("person").alias("lo"), F.max("person").alias("hi"))
+
+
+def _fit(vague: DataFrame, bearers: DataFrame, close: DataFrame) -> DataFrame:
+    """vague (initial, family) with d, the distance of the persons it fits best (null:
+    none), and person, their name if it is just one."""
     same = vague.select("family").distinct().select("family", F.col("family").alias("pf"), F.lit(0).alias("distance"))
     reach = close.select(F.col("name").alias("family"), F.col("other").alias("pf"), "distance").unionByName(same)
-    who = persons.select("given", "pf", F.substring("given", 1, 1).alias("i")).distinct()
-    fits = vague.join(reach, "family").join(who, "pf").where("initial = '' or initial = i")
-    fits = fits.groupBy("nickname", "initial", "family", "distance").agg(F.count("*").alias("n"), F.max(F.concat_ws(" ", "given", "pf")).alias("person"))
-    fits = fits.groupBy("nickname", "initial", "family").agg(F.min("distance").alias("d"), F.min_by(F.struct("n", "person"), "distance").alias("b"))
-    fits = fits.select("nickname", "initial", "family", "d", F.when(F.col("b.n") == 1, F.col("b.person")).alias("person"))
-    return vague.join(fits, ["nickname", "initial", "family"], "left")
+    fits = vague.join(reach, "family").join(bearers.select(F.col("family").alias("pf"), F.col("i").alias("initial"), "lo", "hi"), ["pf", "initial"])
+    fits = fits.groupBy("initial", "family", F.col("distance").alias("d")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    fits = fits.groupBy("initial", "family").agg(F.min("d").alias("d"), F.min_by(F.when(F.col("lo") == F.col("hi"), F.col("lo")), "d").alias("person"))
+    return vague.join(fits, ["initial", "family"], "left")
 
 
 def link_accounts(accounts: DataFrame, forms: dict[str, str], account: str, nickname: str) -> DataFrame:
     """(account, person): the accounts whose owner can be told, with the name that the
-    person is known by, 'given family'.
+    person is known by: the given and the family name, or the words of the whole name.
 
     accounts: rows with an account and a nickname, repeated or null ones allowed. forms:
-    short or full given name (lower case) to the full one; a list of fixed size. Persons
-    are the full names typed; a rarer spelling of a family name within one edit goes to
-    the commoner one with the same given name. An initial with a family name stands for
+    short or full given name (lower case) to the full one; a list of fixed size.
+
+    Names may be in any script and have any number of words, in any order. Of several
+    words each may be the given name if it is in the list; if none is, the words together
+    are the name. Initials beside a listed given name or between words don't count. Words
+    typed together are cut at capitals, if that gives a listed given name or a whole name
+    that is also typed with separators, else they are one word. A name of bars or signs, or of one letter, says nothing.
+
+    Persons are the full names typed; a rarer spelling within one edit of a word goes to
+    the commoner one (with the same given name). An initial with a family name stands for
     the one person that it fits, exactly or else within one edit, a single word for the
     one bearer of that family name, or as initial and family name run together; if it
     fits several it says nothing, if none, it is a person of its own. An account goes by
     its most telling nicknames, then by the most frequent of these, then by name."""
     a = accounts.select(F.col(account).cast("string").alias("account"), F.col(nickname).alias("nickname")).where("account is not null and nickname is not null")
-    a = a.groupBy("account", "nickname").agg(F.count("*").alias("n"))
-    uses = materialise(a.join(name_readings(a, forms), "nickname").withColumn("initial", F.coalesce("initial", F.lit(""))), "readings")
-    close = materialise(trie_join(uses.select(F.col("family").alias("name"))), "near-names")
+    uses = materialise(name_readings(a.groupBy("account", "nickname").agg(F.count("*").alias("n")), forms), "readings")
+    close = trie_join(uses.select(F.col("family").alias("name")))
     weigh = lambda df: df.groupBy("given", "family").agg(F.countDistinct("nickname").alias("spellings"), F.countDistinct("account").alias("bearers"))
-    vague = lambda c: uses.where(c).select("nickname", "initial", "family").distinct()
+    vague = lambda c: uses.where(c).select("initial", "family").distinct()
     told = lambda tier, df: df.select("account", "n", F.lit(tier).alias("tier"), "person")
-    # full names
-    full = uses.where("given is not null")
+    goes_by = F.trim(F.concat_ws(" ", "given", "pf")).alias("person")
+    # full names, and words that give one when cut at capitals
+    full = uses.where(F.col("kind") == FULL)
     persons = _persons(weigh(full), close)
-    out = [told(0, full.join(persons, ["given", "family"]).withColumn("person", F.concat_ws(" ", "given", "pf")))]
+    out = [told(0, full.join(persons, ["given", "family"]).select("account", "n", goes_by))]
+    whole = persons.where("given = ''").groupBy("family").agg(F.lit("").alias("i"), F.min("pf").alias("lo"), F.max("pf").alias("hi"))
+    out.append(told(3, uses.where(F.col("kind") == HUMPS).join(_fit(vague(F.col("kind") == HUMPS), whole, close).where("person is not null"), ["initial", "family"])))
     # an initial and a family name
-    fits = materialise(_fit(vague("given is null and cost = 0"), persons, close), "initials")
-    alone = uses.join(fits.where("d is null").select("nickname", "initial", "family"), ["nickname", "initial", "family"]).withColumn("given", F.concat("initial", F.lit(".")))
+    short = uses.where(F.col("kind") == INITIAL)
+    fits = materialise(_fit(vague(F.col("kind") == INITIAL), _bearers(persons), close), "initials")
+    alone = short.join(fits.where("d is null").select("initial", "family"), ["initial", "family"]).withColumn("given", F.concat("initial", F.lit(".")))
     extra = _persons(weigh(alone), close)
-    out.append(told(1, uses.join(fits.where("person is not null").select("nickname", "initial", "family", "person"), ["nickname", "initial", "family"])))
-    out.append(told(1, alone.join(extra, ["given", "family"]).withColumn("person", F.concat_ws(" ", "given", "pf"))))
+    out.append(told(1, short.join(fits.where("person is not null").select("initial", "family", "person"), ["initial", "family"])))
+    out.append(told(1, alone.join(extra, ["given", "family"]).select("account", "n", goes_by)))
     # one word
-    fits = _fit(vague("given is null and cost > 0"), persons.unionByName(extra), close)
-    rank = F.when(F.col("d").isNotNull(), F.col("d")).when(F.col("initial") == "", 5)
-    fits = fits.withColumn("rank", rank).where("rank is not null").withColumn("person", F.when(F.col("d").isNull(), F.concat(F.lit("- "), "family")).otherwise(F.col("person")))
-    fits = fits.groupBy("nickname").agg(F.min_by("person", F.struct("rank", F.col("initial") != "")).alias("person")).where("person is not null")
-    out.append(told(2, uses.where("given is null and cost = 1").join(fits, "nickname")))
+    one = F.col("kind").isin(WORD, RUN)
+    fits = _fit(vague(one), _bearers(persons.unionByName(extra)), close)
+    words = uses.where(one).join(fits, ["initial", "family"])
+    rank = F.when(F.col("d").isNotNull(), F.col("d")).when(F.col("kind") == WORD, 5)
+    words = words.withColumn("rank", rank).where("rank is not null").withColumn("person", F.when(F.col("d").isNull(), F.concat(F.lit("- "), "family")).otherwise(F.col("person")))
+    words = words.groupBy("account", "nickname", "n").agg(F.min_by(F.struct("person", F.when(F.col("d").isNull(), 4).otherwise(2).alias("tier")), F.struct("rank", F.col("kind") == RUN)).alias("b"))
+    out.append(words.select("account", "n", "b.tier", "b.person").where("person is not null"))
     best = reduce(DataFrame.unionByName, out).groupBy("account", "tier", "person").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("account").orderBy("tier", F.desc("n"), "person")
-    return best.withColumn("r", F.row_number().over(order)).where("r = 1").select("account", "person")
+    return best.groupBy("account").agg(F.min_by("person", F.struct("tier", -F.col("n"), "person")).alias("person"))
 
 
 def account_pairs(links: DataFrame) -> DataFrame:

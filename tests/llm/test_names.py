@@ -46,11 +46,11 @@ def test_automaton_finds_all(spark):
         assert sorted(t.near(w)) == sorted((x, distance(w, x)) for x in ws if distance(w, x) <= 1)
 
 
-@pytest.mark.parametrize("probes", [5000, 3])
-def test_trie_join_is_complete(spark, monkeypatch, probes):
+@pytest.mark.parametrize("most", [2000, 3])
+def test_trie_join_is_complete(spark, monkeypatch, most):
     from matchloom.llm import names
 
-    monkeypatch.setattr(names, "PROBES", probes)
+    monkeypatch.setattr(names, "TRIE", most)  # few names a trie: shards are cut down to the narrowest windows
     ws = words(2)
     df = spark.createDataFrame([(w,) for w in [*ws, *ws[:9], None]], "name string")
     got = {(r["name"], r["other"]) for r in trie_join(df).collect()}
@@ -58,6 +58,13 @@ def test_trie_join_is_complete(spark, monkeypatch, probes):
     assert got == want
 
 
+def test_token_orders_join(spark):
+    df = spark.createDataFrame([("ann marie smith",), ("ann mariee smith",), ("ann smith",), ("anna smith",), ("marie",), ("ann mary smith",)], "name string")
+    got = {(r["name"], r["other"]) for r in trie_join(df).collect()}
+    pairs = [("ann marie smith", "ann mariee smith")]  # ann is too short to differ
+    assert got == {*pairs, *[(b, a) for a, b in pairs]}
+
+
 def test_tokens():
     assert tokens("[K9]Lysandrel Dipirikadu") == ["lysandrel", "dipirikadu"]
     assert tokens("Ottoline.Kazavopure95") == ["ottoline", "kazavopure"]
@@ -68,6 +75,29 @@ def test_tokens():
     assert tokens("1lIIl1lI") == [] == tokens("") == tokens("???")
 
 
+def test_any_script_and_number_of_tokens(spark):
+    people = [
+        ["Иван Петров", "Петров Иван", "ИВАН ПЕТРОВ", "И. Петров", "Иван  Петрав"],
+        ["Mary Ann Smith", "Smith, Mary Ann", "mary_ann_smith", "Ann Mary Smith", "[X]Mary Ann Smiht9"],
+        ["Søren Kjær", "Soren Kjaer", "KJÆR SØREN", "S. Kjær", "SørenKjær"],
+        ["Paweł Wiśniewski", "Pawel Wisniewski", "P. Wisniewski", "wisniewski.pawel"],
+        ["田中 太郎", "太郎 田中"],
+        ["Juan Carlos de la Fuente", "Fuente, Juan Carlos de la", "Juan Carlos J. de la Fuente"],
+        ["Lys M. Kazavopure", "Kazavopure, Lysandrel", "L. M. Kazavopure"],
+    ]
+    rows = [(f"{i}-{k}", n) for i, ns in enumerate(people) for k, n in enumerate(ns)]
+    got = link(spark, rows)
+    assert set(got) == {a for a, _ in rows}
+    owners = {i: {got[f"{i}-{k}"] for k in range(len(ns))} for i, ns in enumerate(people)}
+    assert all(len(v) == 1 for v in owners.values()), owners
+    assert len(set.union(*owners.values())) == len(people)
+
+
+def test_no_name_is_dropped(spark):
+    got = link(spark, [("a", "dipirikadu95"), ("b", "DIPIRIKADU"), ("c", "Mc Donald Of Glen Coe And Elsewhere"), ("d", "McDonald"), ("e", "mcdonald"), ("f", "J. R.")])
+    assert set(got) == set("abcdef") and got["a"] == got["b"] and got["d"] == got["e"]
+
+
 FORMS = {k: v for s, v in [("lys", "lysandrel"), ("pip", "philandra"), ("osk", "oskander"), ("olly", "oliverand")] for k in (s, v)}
 
 
