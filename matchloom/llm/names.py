@@ -179,7 +179,9 @@ def trie_join(names: DataFrame, name: str = "name") -> DataFrame:
         done.append(level.join(large, "shard", "left_anti"))
         level = _halves(level.join(large, "shard", "left_semi"))
     rows = reduce(DataFrame.unionByName, done).select("shard", "n0", "word", "name")
-    rows = rows.repartition("shard").sortWithinPartitions("shard")
+    # few bytes, much work: the number of tasks is the session's, not one for each so many bytes
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "shard").sortWithinPartitions("shard")
     pairs = materialise(rows.mapInArrow(_run_tries, "name string, other string, distance int").distinct(), "near-names")
     for t in kept:
         discard(t)
