@@ -84,24 +84,35 @@ union all select filename, 'added', f1, '' from b where f0 is null and not exist
 union all select filename, 'retyped', f0, '' from b where f0 = f1 and t0 <> t1
 """
 
-_HELD = r"""
-with recursive e as (select filename, case when json_valid(event_data ->> '$.payload') then (event_data ->> '$.payload')::json else event_data::json end as j from tracker_events_raw where json_valid(event_data)),
-top as (select filename, try_cast(coalesce(j ->> '$.controlPlayerId', j ->> '$.owner.playerID') as int) as player, unnest(list_concat([j -> '$.unit'], case when json_type(j -> '$.units') = 'ARRAY' then (j -> '$.units')::json[] else [j -> '$.units'] end)) as node from e),
-held as (select filename, player, null::bigint as parent_tag, node from top where node is not null
-  union all select filename, player, try_cast(node ->> '$.tag' as bigint), unnest(case when json_type(node -> '$.cargo') = 'ARRAY' then (node -> '$.cargo')::json[] else [node -> '$.cargo'] end) from held where json_type(node) = 'OBJECT' and json_type(node -> '$.cargo') <> 'NULL'),
+_EVENTS = r"""
+with recursive e as (select filename, loop, evtTypeName, case when json_valid(event_data ->> '$.payload') then (event_data ->> '$.payload')::json else event_data::json end as j from tracker_events_raw where json_valid(event_data)),
+top as (select filename, loop, evtTypeName, try_cast(coalesce(j ->> '$.controlPlayerId', j ->> '$.owner.playerID') as int) as player, 'unit' as entity, unnest([j -> '$.unit', j -> '$.killer.unit']) as node from e
+  union all select filename, loop, evtTypeName, try_cast(coalesce(j ->> '$.controlPlayerId', j ->> '$.owner.playerID') as int), 'units', unnest(case when json_type(j -> '$.units') = 'ARRAY' then (j -> '$.units')::json[] else [j -> '$.units'] end) from e),
+held as (select filename, loop, evtTypeName, player, entity, 1 as depth, null::varchar as parent_tag, node from top where node is not null and json_type(node) <> 'NULL'
+  union all select filename, loop, evtTypeName, player, 'cargo', depth + 1, node ->> '$.tag', unnest(case when json_type(node -> '$.cargo') = 'ARRAY' then (node -> '$.cargo')::json[] else [node -> '$.cargo'] end) from held where json_type(node) = 'OBJECT' and json_type(node -> '$.cargo') <> 'NULL'),
+unit as (select *, case when json_type(node) = 'OBJECT' then node ->> '$.tag' else node ->> '$' end as tag from held),
 m as (select filename, ToonPlayerDescMap::json as j from replays_meta_raw where json_valid(ToonPlayerDescMap)),
 listed as (select filename, unnest(case when json_type(j) = 'ARRAY' then j::json[] else (j -> '$.players')::json[] end) as x from m where json_type(j) = 'ARRAY' or json_type(j -> '$.players') = 'ARRAY'),
-players as (select filename, x ->> '$.toon' as toon_id, try_cast(coalesce(x ->> '$.playerID', x ->> '$.profile.playerID') as int) as player from listed
-  union select m.filename, e.key, try_cast(e.value ->> '$.playerID' as int) from m, lateral (select * from json_each(m.j)) as e where json_type(m.j) = 'OBJECT' and (m.j -> '$.players') is null)
-select distinct h.filename, p.toon_id, h.parent_tag, try_cast(case when json_type(node) = 'OBJECT' then node ->> '$.tag' else node ->> '$' end as bigint) as child_tag
-from held h join players p on p.filename = h.filename and p.player = h.player where h.parent_tag is not null and p.toon_id is not null and try_cast(case when json_type(node) = 'OBJECT' then node ->> '$.tag' else node ->> '$' end as bigint) is not null
+players as (select filename, x ->> '$.toon' as toon_id, x from listed
+  union all select m.filename, e.key, e.value from m, lateral (select * from json_each(m.j)) as e where json_type(m.j) = 'OBJECT' and (m.j -> '$.players') is null)
 """
 
 
+def _player(field: str) -> str:
+    return f"coalesce(x ->> '$.{field}', x ->> '$.profile.{field}')"
+
+
 def oracles() -> dict[str, str]:
     return {
         "p4_found": _CHANGES,
-        "p6_found": _HELD,
+        "p6_found": f"""{_EVENTS}
+select distinct h.filename, p.toon_id, try_cast(h.parent_tag as bigint) as parent_tag, try_cast(h.tag as bigint) as child_tag
+from unit h join players p on p.filename = h.filename and try_cast({_player("playerID")} as int) = h.player where try_cast(h.parent_tag as bigint) is not null and p.toon_id is not null and try_cast(h.tag as bigint) is not null""",
+        "p6_units": f"""{_EVENTS}
+select filename, loop, evtTypeName, entity, depth, tag, parent_tag, node ->> '$.type' as "type", try_cast(node ->> '$.pos.x' as int) as x, try_cast(node ->> '$.pos.y' as int) as y from unit""",
+        "p6_players": f"""{_EVENTS}
+select filename, toon_id, {", ".join(f"{_player(c)} as {c}" for c in ("nickname", "race", "result", "region", "highestLeague", "clanTag"))}, {", ".join(f'try_cast({_player(c)} as int) as "{c}"' for c in ("playerID", "APM", "MMR"))} from players""",
+        "p6_unreadable": "select filename, loop, evtTypeName from tracker_events_raw where event_data is not null and not json_valid(event_data)",
         "p2_found": f"select distinct match_id, player_id from ({_RATED}) where rating is not null and rating <> rating_pre_raw",
         "p2_rated": f"select distinct match_id, player_id, rating_pre_raw, rating as rating_known from ({_RATED})",
         "p5_instants": f"{_STARTS} select match_id, source, text, us as instant_us from r",

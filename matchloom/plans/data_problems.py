@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom.operators.bitemporal import as_known_at
-from matchloom.operators.nested import flatten_records
+from matchloom.operators.nested import UNREADABLE, entity_columns, flatten_records
 from matchloom.operators.profile import cells, column_profile, count_cells, coverage_drift, expression_coverage, induce_expressions, ledger_errors
 from matchloom.operators.timestamps import normalise_times
 from matchloom.session import materialise, table
@@ -102,12 +102,17 @@ def p4_players(spark: SparkSession, d: str) -> DataFrame:
     return _unified(spark, d, "players", "players_raw")
 
 
-def unit_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Every unit of every event, with the unit that holds it."""
+def event_nodes(spark: SparkSession, d: str, unreadable: bool = False) -> DataFrame:
+    """Every event and whatever repeats within it."""
     return flatten_records(
         table(spark, d, "tracker_events_raw"), "event_data", keep=["filename", "loop", "evtTypeName"], key="tag",
-        entities=["unit", "units", "cargo"], embedded=["payload"], inherit=["controlPlayerId", "owner.playerID"],
-    ).where(F.col("entity").isin("unit", "units", "cargo"))
+        entities=["unit", "units", "cargo"], embedded=["payload"], inherit=["controlPlayerId", "owner.playerID"], unreadable=unreadable,
+    )
+
+
+def unit_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every unit of every event, with the unit that holds it."""
+    return event_nodes(spark, d).where(F.col("entity").isin("unit", "units", "cargo"))
 
 
 def replay_players(spark: SparkSession, d: str) -> DataFrame:
@@ -127,8 +132,19 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_units(spark: SparkSession, d: str) -> DataFrame:
+    """The units' table, with typed columns and the tag of the unit that holds each."""
     f = F.col("fields")
-    return unit_rows(spark, d).select("filename", "loop", "evtTypeName", "path", "node", "parent", F.col("key").alias("tag"), F.col("parent_key").alias("parent_tag"), f["type"].alias("type"), f["pos.x"].try_cast("int").alias("x"), f["pos.y"].try_cast("int").alias("y"))
+    return unit_rows(spark, d).select("filename", "loop", "evtTypeName", "entity", "depth", F.col("key").alias("tag"), F.col("parent_key").alias("parent_tag"), f["type"].alias("type"), f["pos.x"].try_cast("int").alias("x"), f["pos.y"].try_cast("int").alias("y"))
+
+
+def p6_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The tables that the events fall into, with the type and the use of each column."""
+    return entity_columns(event_nodes(spark, d))
+
+
+def p6_unreadable(spark: SparkSession, d: str) -> DataFrame:
+    """Events whose data isn't JSON."""
+    return event_nodes(spark, d, unreadable=True).where(F.col("entity") == UNREADABLE).select("filename", "loop", "evtTypeName")
 
 
 def p6_players(spark: SparkSession, d: str) -> DataFrame:
@@ -158,4 +174,4 @@ def p5_instants(spark: SparkSession, d: str) -> DataFrame:
     return start_instants(spark, d).select("match_id", "source", "text", F.unix_micros("instant").alias("instant_us"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rated, p3_found, p3_profile, p3_ranges, p3_expressions, p3_drift, p4_found, p4_versions, p4_matches, p4_players, p5_found, p5_instants, p6_found, p6_units, p6_players)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rated, p3_found, p3_profile, p3_ranges, p3_expressions, p3_drift, p4_found, p4_versions, p4_matches, p4_players, p5_found, p5_instants, p6_found, p6_units, p6_columns, p6_unreadable, p6_players)}

@@ -1,8 +1,10 @@
 import json
+import time
 
 import pytest
 
-from matchloom.operators.nested import flatten_records
+from matchloom.operators.nested import UNREADABLE, entity_columns, entity_table, flatten_records
+from matchloom.operators.nested import _Reader
 
 UNITS = dict(key="tag", entities=["unit", "units", "cargo"], embedded=["payload"], inherit=["who"])
 
@@ -61,3 +63,35 @@ def test_clash_empty_and_long(spark):
     assert flat(spark, ["{}"], key="k").limit(0).count() == 0
     long = json.dumps({"unit": {"tag": 1, "cargo": list(range(20_000))}})
     assert flat(spark, [long], **UNITS).where("entity = 'cargo'").count() == 20_000
+
+
+def test_very_deep_records(spark):
+    """20,000 levels of units, and of plain objects, in a moment and in full."""
+    n = 20_000
+    units = '{"unit":' + '{"tag":1,"cargo":[' * n + "]}" * n + "}"
+    plain = '{"x":1,"a":' * n + "2" + "}" * n
+    start = time.perf_counter()
+    reader = _Reader(frozenset(UNITS["entities"]), frozenset(), None)
+    assert len(reader.read(units)) == n + 1
+    nodes = reader.read(plain)
+    assert sum(len(x.fields) for x in nodes) == n + 1
+    assert time.perf_counter() - start < 10  # about a second; the machine may be busy
+    assert flat(spark, [units], **UNITS).where("entity = 'cargo'").count() == n - 1
+
+
+def test_unreadable_texts_are_reported(spark):
+    texts = ["{", "NaN", '{"a":1,}', '{"a" 1}', "", "1 2", '"\u0001"', "01", '{"a":"\\ud800"}', '{"ok":1}']
+    rows = flat(spark, texts, key="k", unreadable=True).collect()
+    assert {r["i"] for r in rows if r["entity"] == UNREADABLE} == set(range(8)) and all(r["fields"]["reason"] for r in rows if r["entity"] == UNREADABLE)
+    assert {r["i"] for r in rows if r["entity"] == ""} == {8, 9}
+
+
+def test_typed_tables(spark):
+    a = {"unit": {"tag": 1, "pos": {"x": 3}, "hp": 2.5, "up": True, "name": None}}
+    b = {"unit": {"tag": "q", "pos": {"x": 4}, "hp": 7, "up": False, "cargo": [{"tag": 5}]}}
+    nodes = flat(spark, [json.dumps(a), json.dumps(b)], **UNITS)
+    types = {(r["entity"], r["field"]): r["type"] for r in entity_columns(nodes).collect()}
+    assert types == {("unit", "tag"): "string", ("unit", "pos.x"): "bigint", ("unit", "hp"): "double", ("unit", "up"): "boolean", ("unit", "name"): "string", ("cargo", "tag"): "bigint"}
+    t = entity_table(nodes, "unit", {f: k for (e, f), k in types.items() if e == "unit"}, ["i"])
+    assert [(r["tag"], r["pos_x"], r["hp"], r["up"], r["name"]) for r in t.orderBy("i").collect()] == [("1", 3, 2.5, True, None), ("q", 4, 7.0, False, None)]
+    assert [tuple(r) for r in entity_table(nodes, "cargo", {"tag": "bigint"}).select("parent", "parent_entity", "parent_key", "tag").collect()] == [(1, "unit", "q", 5)]
