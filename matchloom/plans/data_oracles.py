@@ -66,10 +66,12 @@ union all select match_id, 'matches_long_raw', started_timestamp, {_instant('sta
 """
 
 
-_CHANGES = r"""
+_FIELDS = r"""
 with r as (select distinct filename, line_no, record from raw_records where json_valid(record) and json_type(record) = 'OBJECT'),
 f as (select filename, regexp_extract(filename, '^(.*)/[^/]*$', 1) as dir, line_no, field, json_extract(record, '$."' || field || '"') as v from (select filename, line_no, record, unnest(json_keys(record)) as field from r)),
-g as (select *, case json_type(v) when 'NULL' then null when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'DOUBLE' then 'decimal' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' else 'object' end as t from f),
+g as (select *, case json_type(v) when 'NULL' then null when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'DOUBLE' then 'decimal' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' else 'object' end as t from f)"""
+
+_CHANGES = _FIELDS + r""",
 files as (select dir, filename, min(line_no) as lo, max(line_no) as hi, lag(filename) over w as prev, lead(filename) over w as nxt from g group by dir, filename window w as (partition by dir order by filename)),
 by_field as (select g.dir, g.filename, prev, nxt, field, string_agg(distinct t, '|' order by t) as t,
   coalesce(max(v::varchar) filter (where line_no = lo), '') || chr(1) || coalesce(max(v::varchar) filter (where line_no = lo + 1), '') as head,
@@ -105,6 +107,12 @@ def _player(field: str) -> str:
 def oracles() -> dict[str, str]:
     return {
         "p4_found": _CHANGES,
+        "p4_versions": f"""{_FIELDS},
+by_field as (select dir, filename, field, coalesce(string_agg(distinct t, '|' order by t), '?') as t from g group by 1, 2, 3),
+by_file as (select dir, filename, sha256(string_agg(field || ':' || t, ',' order by field, t)) as version, count(*) as n_fields from by_field group by 1, 2),
+turn as (select *, case when lag(version) over (partition by dir order by filename) = version then 0 else 1 end as turned from by_file),
+numbered as (select *, sum(turned) over (partition by dir order by filename) as version_no from turn)
+select dir, version_no, version, n_fields, count(*) as n_files, min(filename) as first_file, max(filename) as last_file from numbered group by 1, 2, 3, 4""",
         "p6_found": f"""{_EVENTS}
 select distinct h.filename, p.toon_id, try_cast(h.parent_tag as bigint) as parent_tag, try_cast(h.tag as bigint) as child_tag
 from unit h join players p on p.filename = h.filename and try_cast({_player("playerID")} as int) = h.player where try_cast(h.parent_tag as bigint) is not null and p.toon_id is not null and try_cast(h.tag as bigint) is not null""",

@@ -12,7 +12,7 @@ from matchloom.operators.nested import UNREADABLE, entity_columns, flatten_recor
 from matchloom.operators.profile import cells, column_profile, count_cells, coverage_drift, expression_coverage, induce_expressions, ledger_errors
 from matchloom.operators.timestamps import normalise_times
 from matchloom.session import materialise, table
-from matchloom.sources.drift import explode_fields, fingerprints, schema_changes, unify
+from matchloom.sources.drift import kept_files, registry, schema_changes, unify
 
 UTC_SECONDS = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
 
@@ -76,19 +76,25 @@ def p3_drift(spark: SparkSession, d: str) -> DataFrame:
     return coverage_drift(coverage, F.regexp_extract("load_prefix", r"^([^/]*/[^/]*)/", 1))
 
 
+#: Lines that a delivered file repeats from the end of the one before it.
+SHARED_LINES = 2
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return schema_changes(explode_fields(table(spark, d, "raw_records"))).select("filename", "change", "field", "new_field").distinct()
+    records = table(spark, d, "raw_records")
+    return schema_changes(records, kept_files(records), SHARED_LINES).select("filename", "change", "field", "new_field").distinct()
 
 
 def p4_versions(spark: SparkSession, d: str) -> DataFrame:
-    """Each file's schema version."""
-    return fingerprints(explode_fields(table(spark, d, "raw_records")))
+    """The registry: each directory's schema versions."""
+    return registry(kept_files(table(spark, d, "raw_records"))).drop("fields")
 
 
 def _unified(spark: SparkSession, d: str, source: str, target: str) -> DataFrame:
-    fields = explode_fields(table(spark, d, "raw_records").where(F.col("filename").startswith(source + "/")))
+    records = table(spark, d, "raw_records").where(F.col("filename").startswith(source + "/"))
     schema = T.StructType([f for f in table(spark, d, target).schema if f.name != "filename"])
-    return unify(fields, schema_changes(fields), schema)
+    files = materialise(kept_files(records), "files")
+    return unify(records, files, schema_changes(records, files, SHARED_LINES), schema)
 
 
 def p4_matches(spark: SparkSession, d: str) -> DataFrame:
