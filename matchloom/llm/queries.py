@@ -15,15 +15,18 @@ from matchloom.session import materialise, table
 
 def duel_results(spark: SparkSession, d: str) -> DataFrame:
     """(winner, loser) of every one-against-one match that was decided between two rows."""
-    m = table(spark, d, "matches_long_raw").where("leaderboard_raw = 3").distinct()
+    # only exact repeats are taken out, whatever else a row holds; the match is the key of both steps
+    m = table(spark, d, "matches_long_raw").where("leaderboard_raw = 3 and match_id is not null")
+    m = m.repartition("match_id").distinct()
     won, lost = F.col("outcome_raw") == 1, F.col("outcome_raw") == 0
     m = m.groupBy("match_id").agg(F.count("*").alias("n"), F.count(F.when(won, 1)).alias("w"), F.count(F.when(lost, 1)).alias("l"), F.max(F.when(won, F.col("player_id"))).alias("winner"), F.max(F.when(lost, F.col("player_id"))).alias("loser"))
     return m.where("n = 2 and w = 1 and l = 1 and match_id is not null").select("winner", "loser")
 
 
 def p1_strengths(spark: SparkSession, d: str) -> DataFrame:
-    """Every player's strength."""
-    s = luce_strengths(duel_results(spark, d))
+    """Every player's strength. Half a win and half a loss against a virtual player are
+    added for each: the plain maximum doesn't exist for players who never lost or won."""
+    s = luce_strengths(duel_results(spark, d), prior=0.5)
     return s.select(F.col("player").alias("player_id"), "strength", "n_comparisons", "n_won")
 
 
