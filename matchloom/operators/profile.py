@@ -24,52 +24,54 @@ SYMBOL_BITS, ENTRY_BITS, LITERAL_BITS = 8.0, 16.0, 8.0
 _D, _L, _W = math.log2(10), math.log2(26), math.log2(62)
 
 
-def cells(df: DataFrame, view: str, load: Column, skip: list[str] = ()) -> DataFrame:
-    """(view_name, load_prefix, column_name, value): every cell, its value as text."""
-    parts = [F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns if c not in skip]
-    return df.select(F.lit(view).alias("view_name"), load.alias("load_prefix"), F.inline(F.array(*parts)))
-
-
-def count_cells(*tables: DataFrame) -> DataFrame:
-    """(view_name, load_prefix, column_name, value, n) of the cells of all tables: how
-    often each load's column has each value; null is a value too. Counting is partial
-    before the one shuffle, and the key holds the value, so that a hot load is spread
-    over tasks; stand-ins are later joined in this partitioning."""
-    return reduce(DataFrame.unionByName, tables).groupBy(*KEY, "value").agg(F.count("*").alias("n"))
+def count_cells(*tables: tuple[DataFrame, str, Column, list[str]]) -> DataFrame:
+    """(view_name, load_prefix, column_name, value, n) of the cells of all tables, each
+    given as (table, its name, the load of a row, columns to skip): how often each load's
+    column has each value, as text; null is a value too. Counting is partial before the
+    one shuffle, and the key holds the value, so that a hot load is spread over tasks; a
+    cell carries its column as a number."""
+    names, parts = [], []
+    for df, view, load, skip in tables:
+        own = []
+        for c in df.columns:
+            if c not in skip:
+                own.append(F.struct(F.lit(len(names)).alias("c"), F.col(f"`{c}`").cast("string").alias("value")))
+                names.append((view, c))
+        parts.append(df.select(load.alias("load_prefix"), F.inline(F.array(*own))))
+    counts = reduce(DataFrame.unionByName, parts).groupBy("c", "load_prefix", "value").agg(F.count("*").alias("n"))
+    name = lambda k: F.array(*[F.lit(n[k]) for n in names])[F.col("c")]
+    return counts.select(name(0).alias("view_name"), "load_prefix", name(1).alias("column_name"), "value", "n")
 
 
 def value_counts(df: DataFrame, view: str, load: Column, skip: list[str] = ()) -> DataFrame:
     """count_cells of one table."""
-    return count_cells(cells(df, view, load, skip))
+    return count_cells((df, view, load, skip))
 
 
-def column_profile(counts: DataFrame, stand_ins: DataFrame | None = None) -> DataFrame:
+def column_profile(counts: DataFrame, stand_ins: DataFrame | None = None, choices: DataFrame | None = None) -> DataFrame:
     """One row per load and column: n_total, n_null, pct_null (percent of all rows),
-    n_distinct (non-null), value ranges as text and as number, lengths, the share of the
-    most frequent value, and n_sentinel, the rows whose value equals the load's
-    `sentinel_value` in `stand_ins` (view_name, load_prefix, column_name, sentinel_value).
-
-    A column of nulls has n_distinct 0 and null ranges; an empty table gives no rows."""
-    c = counts
-    if stand_ins is not None:
-        s = stand_ins.where("sentinel_value is not null").groupBy(*KEY, F.col("sentinel_value").alias("value")).agg(F.lit(1).alias("stands_in"))
-        c = c.join(s.hint("shuffle_hash"), [*KEY, "value"], "left")
-    else:
-        c = c.withColumn("stands_in", F.lit(None).cast("int"))
-    number, n = F.col("value").try_cast("double"), F.col("n")
+    n_distinct (non-null), value ranges as text and as number, lengths, the rows of the
+    most frequent value, n_sentinel, the rows whose value equals the load's
+    `sentinel_value` in `stand_ins` (view_name, load_prefix, column_name, sentinel_value),
+    n_expressions and n_nonconforming, the rows that conform to none of the column's
+    expressions (`choices`, by default induced from all of `counts`).
+
+    All of it is read off the load's coverage by expressions: a line per load, column and
+    expression, null being a class of its own. A column of nulls has n_distinct 0 and null
+    ranges; an empty table gives no rows."""
+    choices = induce_choices(counts)[1] if choices is None else choices
+    c = expression_coverage(counts, choices, stand_ins)
     return (
         c.groupBy(*KEY)
         .agg(
-            F.sum("n").alias("n_total"),
-            F.coalesce(F.sum(F.when(F.col("value").isNull(), n)), F.lit(0)).alias("n_null"),
-            F.count("value").alias("n_distinct"),
-            F.coalesce(F.sum(F.when(F.col("stands_in") == 1, n)), F.lit(0)).alias("n_sentinel"),
-            F.min("value").alias("min_text"),
-            F.max("value").alias("max_text"),
-            F.min(number).alias("min_number"),
-            F.max(number).alias("max_number"),
-            F.max(F.length("value")).alias("max_length"),
-            F.max(F.when(F.col("value").isNotNull(), n)).alias("n_top"),
+            F.sum("n_rows").alias("n_total"),
+            F.coalesce(F.sum(F.when(F.col("is_null"), F.col("n_rows"))), F.lit(0)).alias("n_null"),
+            F.coalesce(F.sum(F.when(~F.col("is_null"), F.col("n_values"))), F.lit(0)).alias("n_distinct"),
+            F.coalesce(F.sum("n_stand_in"), F.lit(0)).alias("n_sentinel"),
+            F.count("shape").cast("int").alias("n_expressions"),
+            F.coalesce(F.sum(F.when(~F.col("is_null") & F.col("shape").isNull(), F.col("n_rows"))), F.lit(0)).alias("n_nonconforming"),
+            *[f(x).alias(x) for f, x in ((F.min, "min_text"), (F.max, "max_text"), (F.min, "min_number"), (F.max, "max_number"), (F.max, "max_length"))],
+            F.max(F.when(~F.col("is_null"), F.col("n_top"))).alias("n_top"),
         )
         .withColumn("pct_null", 100.0 * F.col("n_null") / F.col("n_total"))
     )
@@ -110,13 +112,14 @@ def _expression(shape: Column) -> Column:
     return e
 
 
-def induce_expressions(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(expressions, assignment) by minimum description length.
+def induce_choices(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(expressions, choices) by minimum description length.
 
     expressions: view_name, column_name, expression, shape, level (0 fine to 2 coarse),
-    n_values, bits. assignment: view_name, column_name, value, shape; shape is null for
-    values that are cheaper to spell out than to describe: they conform to nothing.
-    Every distinct non-null value of all loads takes part."""
+    n_values, bits. choices: view_name, column_name, fine, shape: for the finest shape of
+    a value the shape of its expression; null for values that are cheaper to spell out
+    than to describe: they conform to nothing. Every distinct non-null value of all loads
+    takes part."""
     col = ["view_name", "column_name"]
     fine, runs, words = _shapes(F.col("value"))
     v = counts.where("value is not null").groupBy(*col, "value").agg(F.sum("n").alias("n"))
@@ -148,17 +151,48 @@ def induce_expressions(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = lambda a, b, c: F.when(F.col("level") == 2, F.col(a)).when(F.col("level") == 1, F.col(b)).when(F.col("level") == 0, F.col(c))
     pick = pick.withColumn("level", level).select(*col, "s0", "level", at("s2", "s1", "s0").alias("shape"), at("n2", "n1", "n0").alias("n_values"), at("own2", "own1", "own0").alias("bits"))
     expressions = pick.where("shape is not null").groupBy(*col, "shape", "level").agg(F.max("n_values").alias("n_values"), F.max("bits").alias("bits")).withColumn("expression", _expression(F.col("shape")))
-    assignment = v.select(*col, "value", "s0").join(pick.select(*col, "s0", "shape"), [*col, "s0"]).select(*col, "value", "shape")
-    return expressions, assignment
+    return expressions, pick.select(*col, F.col("s0").alias("fine"), "shape")
 
 
-def expression_coverage(counts: DataFrame, assignment: DataFrame) -> DataFrame:
-    """(view_name, load_prefix, column_name, is_null, shape, n_rows, share): rows of each
-    load under each expression; shape is null for rows that conform to none. Null values
-    are a class of their own (is_null), so that every column of a load has a row. Shares
-    are of all rows of the load."""
-    j = counts.join(assignment, ["view_name", "column_name", "value"], "left")
-    by = j.groupBy(*KEY, F.col("value").isNull().alias("is_null"), "shape").agg(F.sum("n").alias("n_rows"))
+def induce_expressions(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(expressions, assignment): as induce_choices, but the assignment is of values:
+    view_name, column_name, value, shape."""
+    expressions, choices = induce_choices(counts)
+    values = counts.where("value is not null").select("view_name", "column_name", "value").distinct()
+    return expressions, _with_shapes(values, choices).select("view_name", "column_name", "value", "shape")
+
+
+def _with_shapes(values: DataFrame, choices: DataFrame) -> DataFrame:
+    """Rows of values with the shape of their expression; `choices` are few beside them."""
+    fine = F.when(F.col("value").isNotNull(), _shapes(F.col("value"))[0])
+    return values.withColumn("fine", fine).join(choices, ["view_name", "column_name", "fine"], "left").drop("fine")
+
+
+def expression_coverage(counts: DataFrame, choices: DataFrame, stand_ins: DataFrame | None = None) -> DataFrame:
+    """(view_name, load_prefix, column_name, is_null, shape, n_rows, n_values, n_stand_in,
+    ranges, share): rows of each load under each expression; shape is null for rows that
+    conform to none. Null values are a class of their own (is_null), so that every column
+    of a load has a row. Shares are of all rows of the load. choices: what induce_choices
+    or induce_expressions gives; stand_ins: as for column_profile."""
+    j = _with_shapes(counts, choices) if "fine" in choices.columns else counts.join(choices, ["view_name", "column_name", "value"], "left")
+    if stand_ins is not None:
+        # one line per load and column that has stand-ins
+        s = stand_ins.where("sentinel_value is not null").groupBy(*KEY).agg(F.collect_set("sentinel_value").alias("stand_ins"))
+        j = j.join(s, KEY, "left").withColumn("stands_in", F.coalesce(F.array_contains("stand_ins", F.col("value")), F.lit(False)))
+    else:
+        j = j.withColumn("stands_in", F.lit(False))
+    number, n = F.col("value").try_cast("double"), F.col("n")
+    by = j.groupBy(*KEY, F.col("value").isNull().alias("is_null"), "shape").agg(
+        F.sum("n").alias("n_rows"),
+        F.count("value").alias("n_values"),
+        F.coalesce(F.sum(F.when(F.col("stands_in"), n)), F.lit(0)).alias("n_stand_in"),
+        F.min("value").alias("min_text"),
+        F.max("value").alias("max_text"),
+        F.min(number).alias("min_number"),
+        F.max(number).alias("max_number"),
+        F.max(F.length("value")).alias("max_length"),
+        F.max("n").alias("n_top"),
+    )
     return by.withColumn("share", F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy(*KEY)))
 
 

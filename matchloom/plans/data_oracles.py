@@ -127,6 +127,8 @@ select filename, toon_id, {", ".join(f"{_player(c)} as {c}" for c in ("nickname"
         "p5_found": f"""{_STARTS}, m as (select match_id, min(us) filter (where source = 'matches_raw') as a0, max(us) filter (where source = 'matches_raw') as a1, min(us) filter (where source <> 'matches_raw') as b0, max(us) filter (where source <> 'matches_raw') as b1 from r where match_id is not null group by 1)
 select match_id from m where a0 is not null and b0 is not null and greatest(a1 - b0, b1 - a0) >= 60000000""",
         "p3_profile": f"""{_profile()} select view_name, load_prefix, column_name, n_total, n_null, n_distinct, n_sentinel, round(100.0 * n_null / n_total, 6) as pct_null from p""",
+        "p3_ranges": f"""{_profile()}, v as (select view_name, load_prefix, column_name, value, count(*) as n from c group by 1, 2, 3, 4)
+select view_name, load_prefix, column_name, min(value) as min_text, max(value) as max_text, round(min(try_cast(value as double)), 6) as min_number, round(max(try_cast(value as double)), 6) as max_number, max(length(value)) as max_length, max(case when value is not null then n end) as n_top from v group by 1, 2, 3""",
         "p3_found": f"""{_profile()}
 select distinct l.view_name, l.load_prefix, l.column_name from missingness_ledger l left join p on p.view_name = l.view_name and p.load_prefix = l.load_prefix and p.column_name = l.column_name
 where abs(coalesce(100.0 * p.n_null / p.n_total, 0) - l.pct_null) > 0.01 + 1e-9 or coalesce(p.n_distinct, 0) is distinct from l.n_distinct or coalesce(p.n_sentinel, 0) is distinct from l.n_sentinel or l.pct_null is null""",

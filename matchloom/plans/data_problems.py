@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from matchloom.operators.bitemporal import as_known_at
 from matchloom.operators.nested import UNREADABLE, entity_columns, flatten_records
-from matchloom.operators.profile import cells, column_profile, count_cells, coverage_drift, expression_coverage, induce_expressions, ledger_errors
+from matchloom.operators.profile import column_profile, count_cells, coverage_drift, expression_coverage, induce_choices, ledger_errors
 from matchloom.operators.timestamps import normalise_times
 from matchloom.session import materialise, table
 from matchloom.sources.drift import kept_files, registry, schema_changes, unify
@@ -45,7 +45,8 @@ def load_counts(spark: SparkSession, d: str) -> DataFrame:
     """Value counts of both loaded tables, by load. A load's prefix is the part of the
     file name that the ledger names: feed and calendar month."""
     load = F.regexp_extract("filename", r"^([^/]*/[^/]*/\d{4}-\d{2})", 1)
-    return count_cells(*[cells(table(spark, d, v), v, load, ["filename"]) for v in LOADED])
+    counts = count_cells(*[(table(spark, d, v), v, load, ["filename"]) for v in LOADED])
+    return materialise(counts, "value-counts")  # read for the expressions, and again for the profile
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -59,20 +60,26 @@ def p3_profile(spark: SparkSession, d: str) -> DataFrame:
     return p.select("view_name", "load_prefix", "column_name", "n_total", "n_null", "n_distinct", "n_sentinel", F.round("pct_null", 6).alias("pct_null"))
 
 
+def p3_nonconforming(spark: SparkSession, d: str) -> DataFrame:
+    """How far the expressions of each column cover it in each load."""
+    return column_profile(load_counts(spark, d)).select("view_name", "load_prefix", "column_name", "n_total", "n_expressions", "n_nonconforming")
+
+
 def p3_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Value ranges and lengths of every column of every load."""
-    return column_profile(load_counts(spark, d))
+    p = column_profile(load_counts(spark, d))
+    return p.select("view_name", "load_prefix", "column_name", "min_text", "max_text", F.round("min_number", 6).alias("min_number"), F.round("max_number", 6).alias("max_number"), "max_length", "n_top")
 
 
 def p3_expressions(spark: SparkSession, d: str) -> DataFrame:
     """The expressions that describe each column."""
-    return induce_expressions(load_counts(spark, d))[0]
+    return induce_choices(load_counts(spark, d))[0]
 
 
 def p3_drift(spark: SparkSession, d: str) -> DataFrame:
     """Change of expression coverage and null share between successive loads of each feed."""
-    counts = materialise(load_counts(spark, d), "value-counts")
-    coverage = expression_coverage(counts, induce_expressions(counts)[1])
+    counts = load_counts(spark, d)
+    coverage = expression_coverage(counts, induce_choices(counts)[1])
     return coverage_drift(coverage, F.regexp_extract("load_prefix", r"^([^/]*/[^/]*)/", 1))
 
 
@@ -180,4 +187,4 @@ def p5_instants(spark: SparkSession, d: str) -> DataFrame:
     return start_instants(spark, d).select("match_id", "source", "text", F.unix_micros("instant").alias("instant_us"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rated, p3_found, p3_profile, p3_ranges, p3_expressions, p3_drift, p4_found, p4_versions, p4_matches, p4_players, p5_found, p5_instants, p6_found, p6_units, p6_columns, p6_unreadable, p6_players)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rated, p3_found, p3_profile, p3_nonconforming, p3_ranges, p3_expressions, p3_drift, p4_found, p4_versions, p4_matches, p4_players, p5_found, p5_instants, p6_found, p6_units, p6_columns, p6_unreadable, p6_players)}
