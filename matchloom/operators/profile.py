@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from matchloom.session import materialise
+
 KEY = ["view_name", "load_prefix", "column_name"]
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits: of a letter of an expression, of an expression as such, of a literal's character.
@@ -136,7 +138,8 @@ def induce_choices(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     sums = [F.sum(b).alias(f"b_{k}") for k, b in bits.items()]
     t0 = v.groupBy(*col, "s2", "s1", "s0").agg(F.count("*").alias("n"), *sums)
     # at each family: its own expression, its parts' best, or its values spelt out
-    t0 = t0.withColumn("own", F.col("b_s0") + model("s0")).withColumn("best", F.least("own", "b_lit"))
+    # a line per shape; read three times below, so that the values are gone through once
+    t0 = materialise(t0.withColumn("own", F.col("b_s0") + model("s0")).withColumn("best", F.least("own", "b_lit")), "shapes")
     add = [F.sum(x).alias(x) for x in ("n", "b_s1", "b_s2", "b_lit")]
     t1 = t0.groupBy(*col, "s2", "s1").agg(*add, F.sum("best").alias("parts"))
     t1 = t1.withColumn("own", F.col("b_s1") + model("s1")).withColumn("best", F.least("own", "parts"))
