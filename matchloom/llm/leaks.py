@@ -39,7 +39,7 @@ COMMON = 5
 #: Words of items that one pass over the documents takes along.
 BLOCK_WORDS = 200_000
 
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 _WORD = re.compile(r"[^\W_]+")
 

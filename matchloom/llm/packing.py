@@ -82,19 +82,25 @@ def _best_configuration(value: np.ndarray, sizes: list[int], limit: list[int], c
     return float(worth[capacity]), tuple(out)
 
 
-def optimise_configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> dict[tuple[int, ...], int]:
+def optimise_configurations(sizes: list[int], demand: list[int], capacity: int) -> dict[tuple[int, ...], int]:
     """How often to use which configuration: the optimum of the linear programme, which
     wants the demand met with the fewest containers, by column generation, rounded down.
-    What is then still wanted is less than one container per group."""
+    What is then still wanted is less than one container per group.
+
+    Generation ends when no configuration is worth more than a container, or when the
+    value of the best one proves that less than half a container can still be saved.
+    Prices that go round in a circle without a saving are an error."""
     n = len(sizes)
     columns = [tuple(min(capacity // sizes[g], demand[g]) if k == g else 0 for k in range(n)) for g in range(n)]
     basis = np.array(columns, float).T
     want = np.array(demand, float)
     use = np.linalg.solve(basis, want)
-    for _ in range(rounds):
+    seen: set[tuple] = set()
+    while True:
         price = np.linalg.solve(basis.T, np.ones(n))
         worth, config = _best_configuration(np.maximum(price, 0), sizes, demand, capacity)
-        if worth <= 1 + 1e-7:
+        # no plan needs fewer than use / worth containers
+        if worth <= 1 + 1e-7 or use.sum() * (1 - 1 / worth) < 0.5:
             break
         step = np.linalg.solve(basis, np.array(config, float))
         up = step > 1e-9
@@ -106,6 +112,12 @@ def optimise_configurations(sizes: list[int], demand: list[int], capacity: int,
         use[out] = ratio[out]
         basis[:, out] = config
         columns[out] = config
+        if ratio[out] > 1e-9:
+            seen.clear()
+        elif (state := tuple(sorted(columns))) in seen:
+            raise RuntimeError("column generation goes round in a circle")
+        else:
+            seen.add(state)
     plan: Counter = Counter()
     left = list(demand)
     for config, x in sorted(zip(columns, use), reverse=True):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm.leaks import find_leaks
-from matchloom.llm.names import account_pairs, link_accounts
+from matchloom.llm.names import account_pairs, link_accounts, trie_join
 from matchloom.llm.packing import pack, token_counts
 from matchloom.llm.reading import detect_languages, reading_levels
 from matchloom.llm.ranking import luce_strengths
@@ -51,6 +51,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a").alias("toon_id_a"), F.col("b").alias("toon_id_b"))
 
 
+def p7_near_names(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of distinct nicknames, lower case and as one word, within one edit."""
+    n = table(spark, d, "replay_players_raw").select(F.translate(F.lower("nickname"), " áàâäéèêëíìîïóòôöúùûüýšž", "_aaaaeeeeiiiioooouuuuysz").alias("name"))
+    return trie_join(n).where("name < other").select("name", "other")
+
+
 #: Tokens that a container holds.
 CAPACITY = 2_048
 
@@ -95,4 +101,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return reading_levels(docs, table(spark, d, "reading_labels")).where("level = 5").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_strengths, p7_found, p7_people, p8_pack, p8_containers, p9_found, p9_leaks, p10_found, p10_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_strengths, p7_found, p7_people, p7_near_names, p8_pack, p8_containers, p9_found, p9_leaks, p10_found, p10_levels)}
