@@ -154,7 +154,8 @@ def induce_choices(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = lambda a, b, c: F.when(F.col("level") == 2, F.col(a)).when(F.col("level") == 1, F.col(b)).when(F.col("level") == 0, F.col(c))
     pick = pick.withColumn("level", level).select(*col, "s0", "level", at("s2", "s1", "s0").alias("shape"), at("n2", "n1", "n0").alias("n_values"), at("own2", "own1", "own0").alias("bits"))
     expressions = pick.where("shape is not null").groupBy(*col, "shape", "level").agg(F.max("n_values").alias("n_values"), F.max("bits").alias("bits")).withColumn("expression", _expression(F.col("shape")))
-    return expressions, pick.select(*col, F.col("s0").alias("fine"), "shape")
+    # a line per shape, whose size is then known: the join with all counts is a broadcast where it is small
+    return expressions, materialise(pick.select(*col, F.col("s0").alias("fine"), "shape"), "choices")
 
 
 def induce_expressions(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -181,7 +182,7 @@ def expression_coverage(counts: DataFrame, choices: DataFrame, stand_ins: DataFr
     if stand_ins is not None:
         # one line per load and column that has stand-ins
         s = stand_ins.where("sentinel_value is not null").groupBy(*KEY).agg(F.collect_set("sentinel_value").alias("stand_ins"))
-        j = j.join(s, KEY, "left").withColumn("stands_in", F.coalesce(F.array_contains("stand_ins", F.col("value")), F.lit(False)))
+        j = j.join(materialise(s, "stand-ins"), KEY, "left").withColumn("stands_in", F.coalesce(F.array_contains("stand_ins", F.col("value")), F.lit(False)))
     else:
         j = j.withColumn("stands_in", F.lit(False))
     number, n = F.col("value").try_cast("double"), F.col("n")
