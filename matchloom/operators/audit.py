@@ -85,24 +85,36 @@ def uniqueness(df: DataFrame, columns: list[str]) -> DataFrame:
     return r.select("column_name", (F.col("d") / F.nullif(F.col("n"), F.lit(0))).alias("ratio"), (F.col("d") / F.nullif(F.col("v"), F.lit(0))).alias("ratio_non_null"))
 
 
+#: Percent missing up to which a column is kept as it is, imputed, and kept at all.
+RARE, FREQUENT, HOPELESS = 5, 40, 80
+
+
 def recommend(pct: float, n_null: int, n_sentinel: int, mechanism: str, primary: bool) -> str:
     """What to do about a column with pct percent missing."""
-    if n_sentinel and not n_null and pct < 5:
-        return "CONVERT_SENTINEL_TO_NULL"
+    return recommendation(pct, n_null, n_sentinel, mechanism, primary)[0]
+
+
+def recommendation(pct: float, n_null: int, n_sentinel: int, mechanism: str, primary: bool) -> tuple[str, str]:
+    """What to do about a column with pct percent missing, and why."""
+    if n_sentinel and not n_null and pct < RARE:
+        return "CONVERT_SENTINEL_TO_NULL", f"{pct:.2f} % stand-ins and no nulls, below {RARE} %: make them null, then treat as missing."
     if pct == 0:
-        return "RETAIN_AS_IS"
-    if pct > 40:
-        keep = pct <= 80 and primary and mechanism != "MNAR"
-        return "FLAG_FOR_IMPUTATION" if keep else "DROP_COLUMN"
-    return "FLAG_FOR_IMPUTATION" if pct > 5 else "RETAIN_AS_IS"
+        return "RETAIN_AS_IS", "Nothing is missing."
+    if pct > FREQUENT:
+        if pct <= HOPELESS and primary and mechanism != "MNAR":
+            return "FLAG_FOR_IMPUTATION", f"{pct:.2f} % missing, above {FREQUENT} %, but a primary feature whose gaps don't depend on its value ({mechanism})."
+        return "DROP_COLUMN", f"{pct:.2f} % missing, above {HOPELESS if pct > HOPELESS else FREQUENT} %."
+    if pct > RARE:
+        return "FLAG_FOR_IMPUTATION", f"{pct:.2f} % missing, between {RARE} and {FREQUENT} %: impute, by other columns if {mechanism} says so."
+    return "RETAIN_AS_IS", f"{pct:.2f} % missing, at most {RARE} %: rows may be left out or filled simply."
 
 
 def missingness_ledger(df: DataFrame, view: str, spec: dict[str, dict] | None = None, identity: list[str] = (), target: list[str] = ()) -> DataFrame:
     """One row per column: counts of nulls and stand-ins, distinct values, mechanism and
-    recommendation.
+    recommendation, each with its justification.
 
-    spec: per column sentinel (a list of values), mechanism (MCAR, MAR, MNAR), semantic
-    and primary; without it MAR is assumed. identity columns are kept as they are and
+    spec: per column sentinel (a list of values), mechanism (MCAR, MAR, MNAR),
+    justification, semantic and primary; without it MAR is assumed. identity columns are kept as they are and
     not counted distinct; constants without gaps are dropped; a target with gaps is
     EXCLUDE_TARGET_NULL_ROWS. A sentinel of a column that isn't there counts nothing."""
     spec = spec or {}
@@ -120,22 +132,46 @@ def missingness_ledger(df: DataFrame, view: str, spec: dict[str, dict] | None =
         pct = round(share(n_null) + share(n_sent), 4)
         missing = n_null + n_sent
         mechanism, semantic, primary = s.get("mechanism", "MAR"), bool(s.get("semantic")), bool(s.get("primary"))
+        why = s.get("justification") or f"Nothing is stated about the column; MAR is assumed ({share(n_null):.2f} % null, {share(n_sent):.2f} % stand-ins)."
         if c in identity:
             mechanism, semantic, primary, advice = "N/A", False, False, "RETAIN_AS_IS"
+            why, reason = "An identity column.", "Identity columns are kept as they are."
         elif n_dist == 1 and not missing:
             mechanism, semantic, primary, advice = "N/A", False, False, "DROP_COLUMN"
+            why, reason = f"One value in all {total} rows.", "A constant says nothing about a row."
         elif not missing:
             mechanism, advice = "N/A", "RETAIN_AS_IS"
+            why, reason = "Nothing is missing.", "Nothing is missing."
         else:
-            advice = recommend(pct, n_null, n_sent, mechanism, primary)
+            advice, reason = recommendation(pct, n_null, n_sent, mechanism, primary)
         if c in target and missing:
-            advice = "EXCLUDE_TARGET_NULL_ROWS"
+            advice, reason = "EXCLUDE_TARGET_NULL_ROWS", "Rows without the target are left out of what is predicted, but stay in the history; a target is never filled."
         marks = s.get("sentinel")
-        rows.append((view, c, df.schema[c].dataType.simpleString(), total, n_null, share(n_null), ",".join(map(str, marks)) if marks else None, n_sent, share(n_sent), pct, n_dist, mechanism, advice, semantic, primary))
-    ddl = "view_name string, column_name string, dtype string, n_total bigint, n_null bigint, pct_null double, sentinel_value string, n_sentinel bigint, pct_sentinel double, pct_missing_total double, n_distinct bigint, mechanism string, recommendation string, carries_semantic_content boolean, is_primary_feature boolean"
+        rows.append((view, c, df.schema[c].dataType.simpleString(), total, n_null, share(n_null), ",".join(map(str, marks)) if marks else None, n_sent, share(n_sent), pct, n_dist, mechanism, why, advice, reason, semantic, primary))
+    ddl = "view_name string, column_name string, dtype string, n_total bigint, n_null bigint, pct_null double, sentinel_value string, n_sentinel bigint, pct_sentinel double, pct_missing_total double, n_distinct bigint, mechanism string, mechanism_justification string, recommendation string, recommendation_justification string, carries_semantic_content boolean, is_primary_feature boolean"
     return df.sparkSession.createDataFrame(rows, ddl)
 
 
+def audit_block(ledgers: dict[str, DataFrame]) -> dict[str, dict]:
+    """The ledgers of several tables as one document: {"views": {name: {"total_rows",
+    "columns_audited", "ledger": [a record per column]}}}. Ledgers have a row per column."""
+    views = {}
+    for name, ledger in ledgers.items():
+        rows = [r.asDict() for r in ledger.collect()]
+        views[name] = {"total_rows": rows[0]["n_total"] if rows else 0, "columns_audited": len(rows), "ledger": rows}
+    return {"views": views}
+
+
+def dictionary_match(df: DataFrame, column: str, dictionary: DataFrame, key: str) -> DataFrame:
+    """One row: n_rows, n_matched, n_unmatched (rows with a value that the dictionary lacks),
+    n_null, n_unused (keys that no row has)."""
+    have = df.groupBy(F.col(column).alias("k")).agg(F.count("*").alias("n"))
+    known = dictionary.select(F.col(key).alias("k")).where("k is not null").distinct().withColumn("known", F.lit(True))
+    j = have.join(known, "k", "full")
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return j.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), total(F.col("known")).alias("n_matched"), total(F.col("k").isNotNull() & F.col("known").isNull()).alias("n_unmatched"), total(F.col("k").isNull()).alias("n_null"), F.count(F.when(F.col("n").isNull(), 1)).alias("n_unused"))
+
+
 def referential_checks(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """One row: n_child_orphans (rows whose key has no parent), n_parent_childless (keys
     without a child), n_child_null."""

@@ -113,8 +113,17 @@ def current_rectangles(versions: DataFrame, strips: DataFrame, width: int, diago
     v, k = F.col("valid"), F.col("known")
     first = F.floor(v / F.lit(width))  # the strip that valid lies in
     own = versions.select("entity", first.alias("strip"), "known", "valid", "value", F.lit(1).alias("own"))
-    # recorded after the start of a later strip: such a strip takes it up when it becomes known
-    late = versions.where(F.ceil(k / F.lit(width)) - 1 > first).select("entity", F.explode(F.sequence(first + 1, F.ceil(k / F.lit(width)) - 1)).alias("strip"), "known", "valid", "value", F.lit(0).alias("own"))
+    # recorded after the start of a later strip: such a strip takes it up when it becomes known.
+    # With `diagonal` a strip's points ask for what is known within the strip, so that of the
+    # strips before the one it was recorded in none takes it up.
+    last = F.ceil(k / F.lit(width)) - 1
+    late = versions.where(last > first)
+    if diagonal:
+        late = late.withColumn("strip", last)
+    else:
+        span = strips.groupBy("entity").agg(F.min("strip").alias("lo"), F.max("strip").alias("hi"))
+        late = late.join(span, "entity").withColumn("a", F.greatest(first + 1, F.col("lo"))).withColumn("b", F.least(last, F.col("hi"))).where("a <= b")
+        late = late.withColumn("strip", F.explode(F.sequence("a", "b")))
     # known by the start of a strip: only the latest valid one matters
     start = F.greatest(first + 1, F.ceil(k / F.lit(width)))
     best = versions.groupBy("entity", start.alias("strip")).agg(F.max(F.struct("valid", "known", "value")).alias("b"))
@@ -126,6 +135,7 @@ def current_rectangles(versions: DataFrame, strips: DataFrame, width: int, diago
         .where(F.col("asked") & F.col("b").isNotNull())
         .select("entity", "strip", F.col("b.known").alias("known"), F.col("b.valid").alias("valid"), F.col("b.value").alias("value"), F.lit(0).alias("own"))
     )
+    late = late.join(asked.drop("asked"), ["entity", "strip"], "left_semi").select("entity", "strip", "known", "valid", "value", F.lit(0).alias("own"))
     rows = own.unionByName(late).unionByName(base)
     rows = rows.repartition("entity", "strip").sortWithinPartitions("entity", "strip", "known", "valid", "value")
     return rows.mapInArrow(_sweep(width, diagonal), _RECT)

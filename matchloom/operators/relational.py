@@ -39,10 +39,12 @@ def mode_per_group(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def shares(df: DataFrame, keys: list[str], within: list[str] = ()) -> DataFrame:
     """keys, n, share: each group's part of all rows, or of its `within` group. The window
-    runs over the counts, not over the rows."""
+    runs over the counts, not over the rows; the total of all is a one-row aggregate."""
     n = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    return n.withColumn("share", F.col("n") / F.sum("n").over(w))
+    if within:
+        return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*within)))
+    total = n.agg(F.sum("n").alias("__total"))
+    return n.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("__total")).drop("__total")
 
 
 def counts_histogram(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -176,13 +178,19 @@ def entity_sample(df: DataFrame, entity: str, fraction: float, seed: int = 42) -
 
 
 def stratified_groups(df: DataFrame, entity: str, n: int, strata: int = 10, seed: int = 42) -> DataFrame:
-    """entity, n_rows, stratum: about n entities, alike many from each stratum of group
-    size; strata are cut at size quantiles. A stratum with fewer entities gives all."""
+    """entity, n_rows, stratum: n entities (all if there are fewer), alike many from each
+    stratum of group size; strata are cut at size quantiles. What strata with fewer
+    entities leave open is topped up from the others, what rounding has too many is
+    trimmed, both in the order of a hash."""
     sizes = df.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.count("*").alias("n_rows"))
     cuts = sizes.agg(F.array_distinct(F.percentile("n_rows", F.array(*[F.lit(i / strata) for i in range(1, strata)]))).alias("cuts"))
     s = sizes.crossJoin(F.broadcast(cuts)).withColumn("stratum", F.size(F.filter("cuts", lambda c: c < F.col("n_rows")))).drop("cuts")
-    w = Window.partitionBy("stratum").orderBy(F.xxhash64(entity, F.lit(seed)), entity)
-    return s.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= -(-n // strata)).drop("__n")
+    s = s.withColumn("__h", F.xxhash64(entity, F.lit(seed)))
+    w = Window.partitionBy("stratum").orderBy("__h", entity)
+    s = s.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n)  # no stratum gives more
+    each = s.agg(F.greatest(F.floor(F.lit(n) / F.countDistinct("stratum")), F.lit(1)).alias("__e"))
+    s = s.crossJoin(F.broadcast(each)).orderBy(F.col("__n") > F.col("__e"), "__h", entity).limit(n)
+    return s.select(entity, "n_rows", "stratum")
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:

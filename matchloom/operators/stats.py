@@ -8,23 +8,46 @@ with each function and doesn't grow with the rows.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from matchloom.session import discard, materialise
+
 UNSEEN = "__unseen__"
 
 
 def quantile_edges(ref: DataFrame, x: Column, bins: int = 10) -> list[float]:
     """Equal-frequency bin edges, repeated ones once. It is an error if there are no more
     distinct values than bins. Collects one row."""
-    v = ref.select(x.cast("double").alias("x")).where("x is not null")
-    r = v.agg(F.percentile("x", F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("q"), F.countDistinct("x").alias("n")).first()
-    if r["n"] <= bins:
-        raise ValueError(f"{r['n']} distinct values for {bins} bins: treat them as categories")
-    return sorted(set(r["q"]))
+    edges, distinct = _quantiles(ref, x, [i / bins for i in range(bins + 1)])
+    if distinct <= bins:
+        raise ValueError(f"{distinct} distinct values for {bins} bins: treat them as categories")
+    return sorted(set(edges))
+
+
+def exact_quantiles(df: DataFrame, x: Column, shares: list[float]) -> list[float]:
+    """The exact quantiles of x, linear between neighbours, nulls left out; empty if there
+    is no value. Values are counted and ranked within ranges, so that no task holds all of
+    them; the driver gets at most two lines per quantile."""
+    return _quantiles(df, x, shares)[0]
+
+
+def _quantiles(df: DataFrame, x: Column, shares: list[float]) -> tuple[list[float], int]:
+    """exact_quantiles, and the number of distinct values."""
+    g = _ranked(df, x, F.lit(True))
+    t = g.agg(F.sum("a").alias("n"), F.count("*").alias("d")).first()
+    if not t["n"]:
+        return [], 0
+    at = [p * (t["n"] - 1) for p in shares]
+    ranks = sorted({k for h in at for k in (math.floor(h), math.ceil(h))})
+    hit = F.array(*[F.lit(k) for k in ranks])
+    rows = g.select("x", F.explode(F.filter(hit, lambda k: (k >= F.col("ca")) & (k < F.col("ca") + F.col("a")))).alias("k")).collect()
+    value = {r["k"]: r["x"] for r in rows}
+    return [value[math.floor(h)] + (h - math.floor(h)) * (value[math.ceil(h)] - value[math.floor(h)]) for h in at], t["d"]
 
 
 def frozen_bin(x: Column, edges: list[float], closed: str = "right") -> Column:
@@ -103,8 +126,6 @@ def _ranked(df: DataFrame, x: Column, first: Column) -> DataFrame:
     sums are made over values within ranges and over ranges, not in one task."""
     g = df.select(x.cast("double").alias("x"), first.alias("f")).where("x is not null and f is not null").groupBy("x").agg(F.count(F.when(F.col("f"), 1)).alias("a"), F.count(F.when(~F.col("f"), 1)).alias("b"))
     g = g.repartitionByRange("x").withColumn("part", F.spark_partition_id())
-    from matchloom.session import materialise
-
     g = materialise(g, "ranked")
     before = Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     parts = g.groupBy("part").agg(F.sum("a").alias("pa"), F.sum("b").alias("pb"))
@@ -231,6 +252,58 @@ def icc_anova(sums: DataFrame) -> DataFrame:
     return s.select(icc.alias("icc"), F.col("k").alias("n_groups"), F.col("n").alias("n_rows"))
 
 
+def icc_mixed(sums: DataFrame, level: float = 0.95) -> DataFrame:
+    """One row: icc, low, high, n_groups, n_rows: the share of the groups' variance in a
+    random-intercept model fitted by restricted maximum likelihood, from group_sums.
+
+    Given the ratio of both variances, the likelihood needs four sums over groups. They
+    are taken for a grid of ratios in one aggregation, and again for a finer grid around
+    the best, eight times; the driver sees the grid's sums. The interval is that of the
+    delta method, each variance with a standard error of sqrt(2 / degrees of freedom)
+    times itself. Fewer than two groups, no spare row, or no variance at all give null."""
+    sums = materialise(sums, "group-sums")
+    t = sums.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("ss").alias("ss"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand")).first()
+    ddl = "icc double, low double, high double, n_groups bigint, n_rows bigint"
+    k, n = t["k"], t["n"] or 0
+    if k < 2 or n <= k:
+        return sums.sparkSession.createDataFrame([(None, None, None, k, n)], ddl)
+    m = F.col("mean") - F.lit(t["grand"])
+
+    def deviance(ratios: list[float]) -> list[tuple[float, float, float]]:
+        """(deviance, ratio, residual variance) at each ratio."""
+        aggs = []
+        for i, r in enumerate(ratios):
+            w = F.col("n") / (1 + F.col("n") * r)
+            aggs += [F.sum(w).alias(f"w{i}"), F.sum(w * m).alias(f"m{i}"), F.sum(w * m * m).alias(f"q{i}"), F.sum(F.log1p(F.col("n") * r)).alias(f"l{i}")]
+        s = sums.agg(*aggs).first()
+        out = []
+        for i, r in enumerate(ratios):
+            w, a, q = s[f"w{i}"], s[f"m{i}"], s[f"q{i}"]
+            residual = (t["ss"] + max(q - a * a / w, 0.0)) / (n - 1)
+            if residual > 0:
+                out.append(((n - 1) * math.log(residual) + s[f"l{i}"] + math.log(w), r, residual))
+        return out
+
+    low, high = -8.0, 8.0
+    best = min(deviance([0.0]), default=None)
+    for _ in range(8):
+        grid = np.linspace(low, high, 25)
+        best = min([*deviance([float(10**g) for g in grid]), *([best] if best else [])], default=None)
+        if best is None or best[1] == 0:
+            break
+        step, centre = (high - low) / 24, math.log10(best[1])
+        low, high = centre - step, centre + step
+    if best is None:
+        return sums.sparkSession.createDataFrame([(None, None, None, k, n)], ddl)
+    between, within = best[1] * best[2], best[2]
+    total = between + within
+    icc = between / total
+    error = math.hypot(within / total**2 * between * math.sqrt(2 / k), between / total**2 * within * math.sqrt(2 / (n - k)))
+    z = NormalDist().inv_cdf((1 + level) / 2)
+    discard(sums)
+    return sums.sparkSession.createDataFrame([(icc, max(icc - z * error, 0.0), min(icc + z * error, 1.0), k, n)], ddl)
+
+
 def icc_bootstrap(sums: DataFrame, draws: int = 200, seed: int = 42, level: float = 0.95) -> DataFrame:
     """One row: icc, low, high. Groups are drawn with replacement as Poisson counts made
     of a hash of group and draw, so that every draw is one weighted sum in the same
@@ -282,9 +355,12 @@ def average_linkage_order(names: list[str], correlation: dict[tuple[str, str], f
 
 
 def iqr_outliers(df: DataFrame, x: str, k: float = 1.5) -> DataFrame:
-    """One row: low, high (fences at k interquartile ranges), n, n_low, n_high."""
-    s = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(F.expr(f"q[0] - {k} * (q[1] - q[0])").alias("low"), F.expr(f"q[1] + {k} * (q[1] - q[0])").alias("high"))
-    return df.crossJoin(F.broadcast(s)).groupBy("low", "high").agg(F.count(x).alias("n"), F.count(F.when(F.col(x) < F.col("low"), 1)).alias("n_low"), F.count(F.when(F.col(x) > F.col("high"), 1)).alias("n_high"))
+    """One row: low, high (fences at k interquartile ranges), n, n_low, n_high; the fences
+    are null without a value."""
+    q = exact_quantiles(df, F.col(x), [0.25, 0.75])
+    low, high = (F.lit(v).cast("double") for v in ((q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])) if q else (None, None)))
+    one = df.agg(F.count(x).alias("n"), F.count(F.when(F.col(x) < low, 1)).alias("n_low"), F.count(F.when(F.col(x) > high, 1)).alias("n_high"))
+    return one.select(low.alias("low"), high.alias("high"), "n", "n_low", "n_high")
 
 
 def metric_rows(df: DataFrame, dataset: str, metric: str, value: str, digits: int = 4, **dims: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchloom.functions import scalar as S
+from matchloom.operators import relational as R
 from matchloom.operators import audit as A
 from matchloom.operators import event_log as E
 from matchloom.operators import features as X
@@ -71,6 +72,18 @@ def audit_sentinel_counts(t: Tables):
     return A.missingness_ledger(t.matches_raw.select("population", "map"), "matches_raw", _SPEC).select("column_name", "n_null", "n_sentinel", "pct_null")
 
 
+@query("""select (select count(*) from matches_raw) as n_rows, (select count(*) from matches_raw where server in (select server from server_zones)) as n_matched, (select count(*) from matches_raw where server is not null and server not in (select server from server_zones where server is not null)) as n_unmatched,
+(select count(*) from matches_raw where server is null) as n_null, (select count(distinct server) from server_zones where server is not null and server not in (select server from matches_raw where server is not null)) as n_unused""")
+def audit_dictionary_match(t: Tables):
+    return A.dictionary_match(t.matches_raw, "server", t.server_zones, "server")
+
+
+@query("""select n_rows, count(*) as n_groups from (select match_id, count(*) as n_rows from matches_long_raw group by 1) group by 1""")
+def audit_multiplicity(t: Tables):
+    """How many matches have how many rows."""
+    return R.counts_histogram(t.matches_long_raw, ["match_id"])
+
+
 @query("select 'o_orderkey' as column_name, count(distinct o_orderkey) / count(*) as ratio, count(distinct o_orderkey) / count(o_orderkey) as ratio_non_null from orders union all select 'o_custkey', count(distinct o_custkey) / count(*), count(distinct o_custkey) / count(o_custkey) from orders")
 def audit_uniqueness(t: Tables):
     return A.uniqueness(t.orders, ["o_orderkey", "o_custkey"])
@@ -82,12 +95,12 @@ def audit_referential(t: Tables):
     return A.referential_checks(t.players_raw, t.matches_raw.select(F.col("matchId").cast("string").alias("id")), "game_id", "id")
 
 
-@query("""select count(*) as n_rows, count(*) filter (where ts < '2024-01-05') as n_before, count(*) filter (where ts >= '2024-01-20') as n_after, count(*) filter (where ts is null) as n_null, false as passed from events""")
+@query("""select count(*) as n_rows, count(*) filter (where ts < '2024-01-05') as n_before, count(*) filter (where ts >= '2024-01-20') as n_after, count(*) filter (where ts is null) as n_null, count(*) filter (where ts < '2024-01-05' or ts >= '2024-01-20' or ts is null) = 0 as passed from events""")
 def audit_time_gate(t: Tables):
     return A.time_window_gate(t.events, "ts", "2024-01-05", "2024-01-20").drop("first", "last")
 
 
-@query("select 'o_totalprice' as column_name, true as present union all select 'won', false")
+@query("select c as column_name, exists (select 1 from information_schema.columns where table_name = 'orders' and column_name = c) as present from (values ('o_totalprice'), ('won')) as v(c)")
 def audit_column_absence(t: Tables):
     return A.column_absence_gate(t.orders, ["o_totalprice", "won"])
 
@@ -129,15 +142,23 @@ def pairs_symmetric_aggregation(t: Tables):
     return _view(t)
 
 
-@query(_VIEW + " select count(*) as n_rows, count(distinct match_id) as n_matches, cast(0 as bigint) as n_violations from v")
+@query(_VIEW + """, f as (select match_id, player_id, opponent, case when rating_pre_raw is null then true else won end as won, chosen_civ_or_race, opponent_chosen_civ_or_race, rating_pre_raw, case when opponent_rating_pre_raw > 1500 then null else opponent_rating_pre_raw end as opponent_rating_pre_raw from v where chosen_civ_or_race is not null),
+mirrored as (select a.match_id from f a join f b on a.match_id = b.match_id and a.player_id = b.opponent and a.opponent = b.player_id and a.won <> b.won and a.chosen_civ_or_race is not distinct from b.opponent_chosen_civ_or_race and a.opponent_chosen_civ_or_race is not distinct from b.chosen_civ_or_race
+  and a.rating_pre_raw is not distinct from b.opponent_rating_pre_raw and a.opponent_rating_pre_raw is not distinct from b.rating_pre_raw)
+select count(*) as n_rows, count(distinct match_id) as n_matches, count(distinct match_id) - (select count(distinct match_id) from mirrored) as n_violations from f""")
 def pairs_symmetry_check(t: Tables):
-    return P.symmetry_violations(_view(t), "match_id", "player_id", _KEEP)
+    """The view with faults put in: rows lost, outcomes and mirrored ratings falsified."""
+    v = _view(t).where("chosen_civ_or_race is not null").withColumn("won", F.when(F.col("rating_pre_raw").isNull(), True).otherwise(F.col("won")))
+    v = v.withColumn("opponent_rating_pre_raw", F.when(F.col("opponent_rating_pre_raw") > 1500, None).otherwise(F.col("opponent_rating_pre_raw")))
+    return P.symmetry_violations(v, "match_id", "player_id", _KEEP)
 
 
-@query(_VIEW + " select count(distinct match_id) as n_matches, cast(0 as bigint) as n_bad from v")
+@query(_VIEW + " select count(distinct match_id) as n_matches, count(distinct match_id) - (select count(*) from (select match_id from v where chosen_civ_or_race is not null group by 1 having count(*) = 2)) as n_bad from v where chosen_civ_or_race is not null")
 def pairs_canonical_slots(t: Tables):
-    """Exactly one row per slot and match; the hash itself is this engine's own."""
-    return P.slot_balance(P.canonical_slots(_view(t), "match_id", "player_id"), "match_id").drop("share_won")
+    """One row per slot and match, but for matches that lost one; the hash itself is this
+    engine's own."""
+    v = _view(t).where("chosen_civ_or_race is not null")
+    return P.slot_balance(P.canonical_slots(v, "match_id", "player_id"), "match_id").drop("share_won")
 
 
 @query("""select matchId, case when population in (-1) then null else population end as population, coalesce(population in (-1), false) as population_was_sentinel, case when map in ('unknown') then null else map end as map, coalesce(map in ('unknown'), false) as map_was_sentinel from matches_raw""")
@@ -145,6 +166,15 @@ def pairs_null_sentinels(t: Tables):
     return P.null_sentinels(t.matches_raw.select("matchId", "population", "map"), {"population": [-1], "map": ["unknown"]})
 
 
+@query("""select match_id, date_diff('second', least(a, b), b) as seconds, coalesce(epoch(b) - epoch(a) > 86400, false) as is_suspicious, coalesce(b < a, false) as is_negative from (select match_id, min(try_strptime(started_timestamp, '%Y-%m-%dT%H:%M:%SZ')) as a, max(try_strptime(started_timestamp, '%Y-%m-%dT%H:%M:%SZ')) as b from matches_long_raw where regexp_full_match(started_timestamp, '\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}Z') group by 1)""")
+def pairs_duration_between(t: Tables):
+    """Durations from two times, a first and a last statement of a match's start."""
+    at = F.when(F.col("started_timestamp").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"), F.col("started_timestamp").try_cast("timestamp"))
+    g = t.matches_long_raw.where(at.isNotNull()).groupBy("match_id").agg(F.min(at).alias("a"), F.max(at).alias("b"))
+    s = F.unix_seconds("b") - F.unix_seconds("a")
+    return g.select("match_id", s.alias("seconds"), *P.duration_flags(s))
+
+
 @query("""select filename, cast(header.elapsedGameLoops / 22.4 as bigint) as seconds, coalesce(header.elapsedGameLoops / 22.4 > 1200, false) as is_suspicious, coalesce(header.elapsedGameLoops / 22.4 < 0, false) as is_negative from replays_meta_raw""")
 def pairs_duration_flags(t: Tables):
     s = F.col("header.elapsedGameLoops") / 22.4
@@ -388,6 +418,17 @@ def stats_icc(t: Tables):
     return T.icc_anova(T.group_sums(t.orders, "o_custkey", F.col("o_totalprice"))).withColumns(_r("icc", d=8))
 
 
+@query("""with p as (select profile_id, min(rating)::double as a, max(rating)::double as b from ratings_raw where rating is not null and profile_id is not null group by 1), g as (select (a + b) / 2 as m, power(a - b, 2) / 2 as ss from p), t as (select avg(m) as grand, count(*) as k from g),
+s as (select sum(2 * power(m - grand, 2)) / (max(k) - 1) as msb, sum(ss) / max(k) as msw, max(k) as k from g cross join t)
+select round(greatest((msb - msw) / (msb + msw), 0), 4) as icc, k as n_groups, cast(2 * k as bigint) as n_rows from s""")
+def stats_icc_mixed(t: Tables):
+    """How alike a player's lowest and highest rating are. With two in each group restricted
+    maximum likelihood agrees with the analysis of variance, which SQL can state."""
+    p = t.ratings_raw.where("rating is not null and profile_id is not null").groupBy("profile_id").agg(F.min("rating").alias("a"), F.max("rating").alias("b"))
+    p = p.select("profile_id", F.explode(F.array("a", "b")).alias("x"))
+    return T.icc_mixed(T.group_sums(p, "profile_id", F.col("x"))).select(F.round("icc", 4).alias("icc"), "n_groups", "n_rows")
+
+
 @query()
 def stats_icc_bootstrap(t: Tables):
     return T.icc_bootstrap(T.group_sums(t.ratings_raw, "profile_id", F.col("rating")))
@@ -441,12 +482,11 @@ def features_cold_start(t: Tables):
     return h.groupBy("is_cold").agg(F.count("*").alias("n_rows"))
 
 
-@query("""with tr as (select * from matches_long_raw where outcome_raw is not null and match_id % 2 = 0), b as (select avg(outcome_raw) as base from tr), k as (select chosen_civ_or_race, sum(outcome_raw) as w, count(outcome_raw) as n from tr group by 1)
-select distinct m.chosen_civ_or_race as civ, round((coalesce(w, 0) + 50 * base) / (coalesce(n, 0) + 50), 8) as rate from matches_long_raw m cross join b left join k using (chosen_civ_or_race) where match_id % 2 = 1""")
+@query("""with tr as (select * from matches_long_raw where outcome_raw is not null), b as (select avg(outcome_raw) as base from tr), k as (select chosen_civ_or_race, sum(outcome_raw) as w, count(outcome_raw) as n from tr group by 1)
+select distinct m.chosen_civ_or_race as civ, round((coalesce(w, 0) + 50 * base) / (coalesce(n, 0) + 50), 8) as rate from matches_long_raw m cross join b left join k using (chosen_civ_or_race)""")
 def features_smoothed_rate(t: Tables):
     m = t.matches_long_raw
-    train = m.where("outcome_raw is not null and match_id % 2 = 0")
-    s = X.smoothed_rate(train, m.where("match_id % 2 = 1").select("chosen_civ_or_race"), "chosen_civ_or_race", "outcome_raw", 50.0)
+    s = X.smoothed_rate(m.where("outcome_raw is not null"), m.select("chosen_civ_or_race"), "chosen_civ_or_race", "outcome_raw", 50.0)
     return s.select(F.col("chosen_civ_or_race").alias("civ"), F.round("rate", 8).alias("rate")).distinct()
 
 
@@ -458,10 +498,16 @@ def features_cutoff_snapshot(t: Tables):
     return s.select("filename", "n_events", "max_value", "first_UnitDied", "first_Upgrade")
 
 
-@query(_VIEW + f""", f as ({_DATED}) select count(*) as n_rows, cast(0 as bigint) as n_leaks from f""")
+@query(_VIEW + f""", f as ({_DATED}), c as (select *, count(*) over (partition by player_id order by start_at range between unbounded preceding and current row) as upto, count(*) over (partition by player_id, start_at) as ties from f)
+select count(*) as n_rows, count(*) filter (where upto - ties <> case when won then upto else upto - ties end) as n_leaks from c""")
 def features_leak_check(t: Tables):
+    """Counts that leak where the match was won: they include the match itself and those
+    at the same time."""
     d = _dated(t)
-    return X.leak_check(X.history_features(d, "player_id", "at", "won"), d, "player_id", "at", "n_prior")
+    h = X.history_features(d, "player_id", "at", "won")
+    same = d.groupBy("player_id", "at").agg(F.count("*").alias("ties"))
+    h = h.join(same, ["player_id", "at"]).withColumn("n_prior", F.when(F.col("won"), F.col("n_prior") + F.col("ties")).otherwise(F.col("n_prior")))
+    return X.leak_check(h, d, "player_id", "at", "n_prior")
 
 
 @query("""with n as (select leaderboard, map, count(*) as n from matches_raw where map is not null group by 1, 2), c as (select leaderboard, map, row_number() over (partition by leaderboard order by n desc, map) - 1 as code from n)

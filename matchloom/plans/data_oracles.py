@@ -8,15 +8,20 @@ select profile_id, leaderboard_id, rating, date as v,
 from (select *, try_cast(regexp_extract(filename, '(\\d{4}-\\d{2}-\\d{2})[^/]*$', 1) as date) as fd from ratings_raw where rating is not null and profile_id is not null and leaderboard_id is not null and date is not null)
 """
 
-_RATED = f"""
+
+def _rated(known: str) -> str:
+    return f"""
 with r as ({_VERSIONS}),
 m as (select distinct match_id, player_id, rating_pre_raw, leaderboard_raw, strptime(started_timestamp, '%Y-%m-%dT%H:%M:%SZ') as t
   from matches_long_raw where regexp_full_match(started_timestamp, '\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}Z') and rating_pre_raw is not null),
 j as (select m.*, r.rating, row_number() over (partition by m.match_id, m.player_id, m.rating_pre_raw, m.leaderboard_raw, m.t order by r.v desc, r.k desc, r.rating desc) as i
-  from m left join r on r.profile_id = m.player_id and r.leaderboard_id = m.leaderboard_raw and r.v < m.t and r.k <= m.t)
+  from m left join r on r.profile_id = m.player_id and r.leaderboard_id = m.leaderboard_raw and r.v < m.t and r.k <= {known})
 select * from j where i = 1
 """
 
+
+_RATED = _rated("m.t")
+
 _MATCH_COLUMNS = ["matchId", "started", "leaderboard", "name", "server", "internalLeaderboardId", "map", "speed", "speedFactor", "mod", "privacy", "population"]
 _PLAYER_COLUMNS = ["winner", "game_id", "team", "feudal_age_uptime", "castle_age_uptime", "imperial_age_uptime", "old_rating", "new_rating", "match_rating_diff", "profile_id", "civ", "opening"]
 
@@ -123,6 +128,7 @@ select filename, toon_id, {", ".join(f"{_player(c)} as {c}" for c in ("nickname"
         "p6_unreadable": "select filename, loop, evtTypeName from tracker_events_raw where event_data is not null and not json_valid(event_data)",
         "p2_found": f"select distinct match_id, player_id from ({_RATED}) where rating is not null and rating <> rating_pre_raw",
         "p2_rated": f"select distinct match_id, player_id, rating_pre_raw, rating as rating_known from ({_RATED})",
+        "p2_corrected": f"select distinct match_id, player_id, rating_pre_raw, rating as rating_corrected from ({_rated('m.t + interval 30 days')})",
         "p5_instants": f"{_STARTS} select match_id, source, text, us as instant_us from r",
         "p5_found": f"""{_STARTS}, m as (select match_id, min(us) filter (where source = 'matches_raw') as a0, max(us) filter (where source = 'matches_raw') as a1, min(us) filter (where source <> 'matches_raw') as b0, max(us) filter (where source <> 'matches_raw') as b1 from r where match_id is not null group by 1)
 select match_id from m where a0 is not null and b0 is not null and greatest(a1 - b0, b1 - a0) >= 60000000""",

@@ -17,8 +17,9 @@ from matchloom.sources.drift import kept_files, registry, schema_changes, unify
 UTC_SECONDS = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
 
 
-def rated_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Match rows with the rating that was valid, and known, when the match started."""
+def rated_matches(spark: SparkSession, d: str, later: str | None = None) -> DataFrame:
+    """Match rows with the rating that was valid when the match started, as it was known
+    then, or `later` (an interval) on."""
     started = F.col("started_timestamp")
     m = table(spark, d, "matches_long_raw").where(started.rlike(UTC_SECONDS) & F.col("rating_pre_raw").isNotNull())
     m = m.select("match_id", "player_id", "rating_pre_raw", F.col("player_id").cast("bigint").alias("profile_id"), F.col("leaderboard_raw").cast("bigint").alias("leaderboard_id"), started.try_cast("timestamp").alias("at"))
@@ -26,7 +27,8 @@ def rated_matches(spark: SparkSession, d: str) -> DataFrame:
     day = F.regexp_extract("filename", r"(\d{4}-\d{2}-\d{2})[^/]*$", 1).try_cast("date")
     valid = F.col("date").cast("timestamp")
     known = F.when(day > F.to_date("date"), day.cast("timestamp")).otherwise(valid)
-    return as_known_at(m, r, ["profile_id", "leaderboard_id"], F.col("at"), valid, known, F.col("rating"))
+    tau = None if later is None else F.col("at") + F.expr(f"interval {later}")
+    return as_known_at(m, r, ["profile_id", "leaderboard_id"], F.col("at"), valid, known, F.col("rating"), known_at=tau)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +40,13 @@ def p2_rated(spark: SparkSession, d: str) -> DataFrame:
     return rated_matches(spark, d).select("match_id", "player_id", "rating_pre_raw", F.col("value").cast("bigint").alias("rating_known")).distinct()
 
 
+def p2_corrected(spark: SparkSession, d: str) -> DataFrame:
+    """The rating at the start of each match as it was known 30 days later, corrections
+    that came until then included."""
+    r = rated_matches(spark, d, "30 days")
+    return r.select("match_id", "player_id", "rating_pre_raw", F.col("value").cast("bigint").alias("rating_corrected")).distinct()
+
+
 LOADED = ("matches_raw", "players_raw")
 
 
@@ -187,4 +196,4 @@ def p5_instants(spark: SparkSession, d: str) -> DataFrame:
     return start_instants(spark, d).select("match_id", "source", "text", F.unix_micros("instant").alias("instant_us"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rated, p3_found, p3_profile, p3_nonconforming, p3_ranges, p3_expressions, p3_drift, p4_found, p4_versions, p4_matches, p4_players, p5_found, p5_instants, p6_found, p6_units, p6_columns, p6_unreadable, p6_players)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rated, p2_corrected, p3_found, p3_profile, p3_nonconforming, p3_ranges, p3_expressions, p3_drift, p4_found, p4_versions, p4_matches, p4_players, p5_found, p5_instants, p6_found, p6_units, p6_columns, p6_unreadable, p6_players)}

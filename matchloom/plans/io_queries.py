@@ -86,14 +86,76 @@ def io_parquet_footers(t: Tables):
     return schemas.parquet_footers(t.spark, t.dir).groupBy("column_name", "type").agg(F.count("*").alias("n_files"))
 
 
-@query()
+def _drifting_files(t: Tables) -> str:
+    """The orders as three files: whole, one column retyped, one column missing."""
+    path = _place(t, "drifting")
+    o = t.orders.coalesce(1)
+    o.write.parquet(f"{path}/a")
+    o.withColumn("o_custkey", F.col("o_custkey").cast("string")).write.parquet(f"{path}/b")
+    o.drop("o_orderpriority").write.parquet(f"{path}/c")
+    return path
+
+
+@query("""select * from (values ('o_orderkey', 'int64', 3, false), ('o_custkey', 'int64', 2, true), ('o_custkey', 'string', 1, true), ('o_orderstatus', 'string', 3, false), ('o_totalprice', 'double', 3, false), ('o_orderdate', (select any_value(case when typeof(o_orderdate) like 'TIMESTAMP%' then 'timestamp' end) from orders), 3, false), ('o_orderpriority', 'string', 2, true)) as v(column_name, type, n_files, is_variant)""")
 def io_type_census(t: Tables):
-    return schemas.type_census(schemas.parquet_footers(t.spark, t.dir, "n*.parquet"))
+    """Of three files only the retyped column and the missing one are variants."""
+    c = schemas.type_census(schemas.parquet_footers(t.spark, _drifting_files(t)))
+    return c.withColumn("type", F.regexp_replace("type", r"^timestamp.*", "timestamp"))
+
+
+@query()
+def io_compare_schemas(t: Tables):
+    c = schemas.compare_schemas(schemas.parquet_footers(t.spark, _drifting_files(t)))
+    return c.agg(F.count("*").alias("n_schemas"), F.sum("n_files").alias("n_files"))
 
 
-@query("""with e as (select unnest(json_keys(record)) as key from raw_records) select key, count(*) as n from e group by 1""")
+@query("""with e as (select key, json_extract(record, '$."' || key || '"') as v from (select record, unnest(json_keys(record)) as key from raw_records where json_valid(record) and json_type(record) = 'OBJECT')),
+k as (select key, case json_type(v) when 'NULL' then 'null' when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'DOUBLE' then 'decimal' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' else 'object' end as t from e),
+g as (select key, count(*) as n, string_agg(distinct t, ',' order by t) as types, count(distinct t) filter (where t <> 'null') as d, count(*) filter (where t = 'integer') as i, count(*) filter (where t = 'decimal') as f, count(*) filter (where t = 'boolean') as b, count(*) filter (where t <> 'null') as m from k group by 1)
+select key, n, types, case when d = 0 then 'string' when i = m then 'bigint' when i + f = m then 'double' when b = m then 'boolean' else 'string' end as proposed from g""")
 def io_json_root_keys(t: Tables):
-    return schemas.json_root_keys(t.raw_records, "record").select("key", "n")
+    return schemas.json_root_keys(t.raw_records, "record").withColumn("types", F.array_join("types", ","))
+
+
+@query("""select s_suppkey, s_name, s_nationkey from supplier union all select c_custkey, null, c_nationkey from customer""")
+def io_table_append(t: Tables):
+    """A table created anew, and appended to by name; columns that are missing are null."""
+    name = f"loom_{uuid.uuid4().hex[:12]}"
+    t.spark.sql(f"create database {name} location '{_place(t, 'database')}'")
+    sinks.create_table(t.supplier.select("s_suppkey", "s_name", "s_nationkey"), f"{name}.people")
+    sinks.append_by_name(t.customer.select(F.col("c_custkey").alias("s_suppkey"), F.col("c_nationkey").alias("s_nationkey")), f"{name}.people")
+    return t.spark.table(f"{name}.people")
+
+
+@query("select 'loom_supplier' as table_name, count(*) as n_rows from supplier union all select 'loom_customer', count(*) from customer")
+def io_row_counts(t: Tables):
+    t.supplier.createOrReplaceTempView("loom_supplier")
+    t.customer.createOrReplaceTempView("loom_customer")
+    return sinks.row_counts(t.spark, ["loom_supplier", "loom_customer"])
+
+
+@query("""select cast(json_extract_string(j, '$.n_nationkey') as bigint) as n_nationkey, json_extract_string(j, '$.n_name') as n_name from (select to_json(n) as j from nation n)""")
+def io_render_json(t: Tables):
+    """A whole result as a JSON document, read again."""
+    text = sinks.render(t.nation.select("n_nationkey", "n_name"), "json")
+    df = t.spark.createDataFrame([(text,)], "j string")
+    return df.select(F.inline(F.from_json("j", "array<struct<n_nationkey:bigint,n_name:string>>")))
+
+
+@query()
+def io_key_paths(t: Tables):
+    paths = schemas.key_paths(t.replays_meta_raw.select("details", "header").schema)
+    return t.spark.createDataFrame([(p,) for p in paths], "path string")
+
+
+@query("""select n_regionkey, count(*) as n, sum(n_nationkey) as keys from nation group by 1""")
+def io_scan_many_json_files(t: Tables):
+    """One scan over as many files of whole JSON objects as there are regions."""
+    path = _place(t, "json-files")
+    n = t.nation.groupBy("n_regionkey").agg(F.to_json(F.struct(F.first("n_regionkey").alias("region"), F.collect_list(F.struct("n_nationkey", "n_name")).alias("rows"))).alias("value"))
+    n.repartition("n_regionkey").select("value").write.option("maxRecordsPerFile", 1).text(path)
+    j = readers.read_json_files(t.spark, path, "region int, rows array<struct<n_nationkey:int,n_name:string>>")
+    return j.select(F.col("region").alias("n_regionkey"), F.inline("rows")).groupBy("n_regionkey").agg(F.count("*").alias("n"), F.sum("n_nationkey").alias("keys"))
 
 
 @query("""with a as (select distinct regexp_extract(filename, '(\\d{4}-\\d{2}-\\d{2})_', 1) as key from matches_raw), b as (select distinct regexp_extract(filename, '(\\d{4}-\\d{2}-\\d{2})\\.csv', 1) as key from ratings_raw)

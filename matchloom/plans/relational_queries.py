@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from matchloom.functions import scalar as S
 from matchloom.operators import relational as R
 from matchloom.plans.define import Group, Tables
+from matchloom.session import shared_dir
 
 query = Group()
 
@@ -271,9 +274,32 @@ def aggregate_as_sort_key(t: Tables):
 @query("select distinct n_name from nation n join region r on n.n_regionkey = r.r_regionkey where r.r_name = 'EUROPE'")
 def join_across_databases(t: Tables):
     """Tables of two databases by qualified names."""
-    t.nation.createOrReplaceTempView("loom_nation")
-    t.region.createOrReplaceGlobalTempView("loom_region")
-    return t.spark.sql("select distinct n_name from loom_nation n join global_temp.loom_region r on n.n_regionkey = r.r_regionkey where r.r_name = 'EUROPE'")
+    a, b = (f"loom_{uuid.uuid4().hex[:12]}" for _ in range(2))
+    for name, table, df in ((a, "nation", t.nation), (b, "region", t.region)):
+        t.spark.sql(f"create database {name} location '{shared_dir(t.spark)}/{name}'")
+        df.write.saveAsTable(f"{name}.{table}")
+    return t.spark.sql(f"select distinct n_name from {a}.nation n join {b}.region r on n.n_regionkey = r.r_regionkey where r.r_name = 'EUROPE'")
+
+
+@query("select o_custkey, any_value(c_nationkey) as nation, count(*) as n from orders join customer on o_custkey = c_custkey group by 1")
+def aggregate_any_value(t: Tables):
+    """Any of a group's values, where they are all the same."""
+    j = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return j.groupBy("o_custkey").agg(F.any_value("c_nationkey").alias("nation"), F.count("*").alias("n"))
+
+
+@query("select 'o_orderkey' as name, lower(any_value(typeof(o_orderkey))) as type, count(*) as n from orders union all select 'o_totalprice', lower(any_value(typeof(o_totalprice))), count(*) from orders")
+def scalar_typeof(t: Tables):
+    one = lambda c: t.orders.agg(F.any_value(F.typeof(c)).alias("type"), F.count("*").alias("n")).select(F.lit(c).alias("name"), "type", "n")
+    return one("o_orderkey").unionByName(one("o_totalprice"))
+
+
+@query("select s.i as o_custkey, count(o_orderkey) as n from (select unnest(generate_series((select min(o_custkey) from orders), (select max(o_custkey) from orders), 3)) as i) s left join orders o on o.o_custkey = s.i group by 1")
+def series_integers(t: Tables):
+    """Every third key of the range, whether there are orders or not."""
+    ends = t.orders.agg(F.min("o_custkey").alias("a"), F.max("o_custkey").alias("b"))
+    series = ends.select(F.explode(F.expr("sequence(a, b, 3L)")).alias("o_custkey"))
+    return series.join(t.orders, "o_custkey", "left").groupBy("o_custkey").agg(F.count("o_orderkey").alias("n"))
 
 
 @query("""with e as (select quantile_cont(l_extendedprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as e from lineitem) select cast(len(list_filter(e, lambda x: x < l_extendedprice)) as int) as decile, count(*) as n from lineitem cross join e group by 1""")

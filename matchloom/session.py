@@ -80,12 +80,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back.
 
     Unlike a cached table it survives the loss of any executor, and being columnar
-    and compressed it needs less disk than an RDD checkpoint."""
+    and compressed it needs less disk than an RDD checkpoint. It is deleted when the
+    application ends, or by `discard` as soon as nothing reads it any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,26 +17,29 @@ def files_below(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 
 def parquet_footers(spark: SparkSession, root: str, glob: str = "*.parquet") -> DataFrame:
-    """filename, column_name, type, n_rows of every file, from footers only, which are
-    read on the executors, each file by one task. Paths must be local or shared mounts;
-    unreadable files have one row with type 'unreadable'."""
+    """filename, column_name, type, n_rows, problem of every file, from footers only, which
+    are read on the executors. Paths may be of any file system that Arrow knows (local,
+    HDFS, object stores); unreadable files have one row with type 'unreadable' and what is
+    wrong with them as `problem`."""
     files = files_below(spark, root, glob).select("path", relative_name(F.col("path"), root).alias("filename"))
 
     def run(batches):
         import pandas as pd
+        import pyarrow.fs as pf
         import pyarrow.parquet as pq
 
         for b in batches:
             rows = []
             for path, name in zip(b["path"], b["filename"]):
                 try:
-                    f = pq.ParquetFile(path.removeprefix("file:").replace("//", "/"))
-                    rows += [(name, c.name, str(c.type), f.metadata.num_rows) for c in f.schema_arrow]
-                except Exception:
-                    rows.append((name, None, "unreadable", None))
-            yield pd.DataFrame(rows, columns=["filename", "column_name", "type", "n_rows"])
-
-    return files.mapInPandas(run, "filename string, column_name string, type string, n_rows bigint")
+                    system, place = pf.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                    f = pq.ParquetFile(place, filesystem=system)
+                    rows += [(name, c.name, str(c.type), f.metadata.num_rows, None) for c in f.schema_arrow]
+                except (OSError, ValueError, KeyError, NotImplementedError) as e:
+                    rows.append((name, None, "unreadable", None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["filename", "column_name", "type", "n_rows", "problem"])
+
+    return files.mapInPandas(run, "filename string, column_name string, type string, n_rows bigint, problem string")
 
 
 def type_census(footers: DataFrame) -> DataFrame:

@@ -60,10 +60,12 @@ def row_counts(spark: SparkSession, names: list[str]) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], "table_name string, n_rows bigint")
 
 
-def render(df: DataFrame, form: str = "table", limit: int = 1000) -> str:
-    """A result as text: table, csv or json (records). limit bounds what the driver
-    takes; it is for people to look at."""
-    pdf = df.limit(limit).toPandas()
+def render(df: DataFrame, form: str = "table", most: int | None = None) -> str:
+    """A result as text: table, csv or json (records). All of it: a result of more than
+    `most` rows, where that is given, is an error, never cut."""
+    pdf = (df if most is None else df.limit(most + 1)).toPandas()
+    if most is not None and len(pdf) > most:
+        raise ValueError(f"the result has more than {most} rows")
     if form == "csv":
         return pdf.to_csv(index=False)
     if form == "json":

@@ -1,3 +1,4 @@
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -11,6 +12,7 @@ from matchloom.operators import features as X
 from matchloom.operators import pairs as P
 from matchloom.operators import panel as N
 from matchloom.operators import stats as T
+from matchloom.sources import sinks
 from tests.conftest import rows
 
 T0 = datetime(2024, 1, 1)
@@ -189,3 +191,55 @@ def test_event_log(spark):
     m = E.field_monotonicity(df, ["filename"], "loop", "event_data", {"u": "$.u"}).first()
     assert (m["n"], m["n_down"], m["low"], m["high"]) == (4, 1, 1.0, 3.0)
     assert rows(E.tick_gaps(df, "filename", "loop")) == [(1, 2), (2, 1), (4, 1)]
+
+
+def test_mixed_model_agrees_with_brute_force(spark):
+    """Restricted likelihood of unequal groups, against a fine search over the ratio."""
+    r = np.random.default_rng(4)
+    sizes = r.integers(1, 9, 60)
+    rows = [(int(g), float(3 + a + r.normal(0, 1.5))) for g, (n, a) in enumerate(zip(sizes, r.normal(0, 1, 60))) for _ in range(n)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    got = T.icc_mixed(T.group_sums(df, "g", F.col("x"))).first()
+    pdf = df.toPandas()
+    n, m = pdf.groupby("g").x.count().to_numpy(), pdf.groupby("g").x.mean().to_numpy()
+    ss, total = float(((pdf.x - pdf.groupby("g").x.transform("mean")) ** 2).sum()), len(pdf)
+
+    def deviance(ratio):
+        w = n / (1 + n * ratio)
+        mu = (w * m).sum() / w.sum()
+        res = (ss + (w * (m - mu) ** 2).sum()) / (total - 1)
+        return (total - 1) * np.log(res) + np.log1p(n * ratio).sum() + np.log(w.sum())
+
+    best = min(np.linspace(0, 3, 30_001), key=deviance)
+    assert abs(got["icc"] - best / (1 + best)) < 1e-3 and got["low"] < got["icc"] < got["high"]
+    alike = spark.createDataFrame([(i % 5, float(i // 5)) for i in range(50)], "g int, x double")
+    assert T.icc_mixed(T.group_sums(alike, "g", F.col("x"))).first()["icc"] == 0
+    for few in (df.limit(0), df.limit(1), spark.createDataFrame([(1, 2.0), (2, 2.0), (2, 2.0)], "g int, x double")):
+        assert T.icc_mixed(T.group_sums(few, "g", F.col("x"))).first()["icc"] is None
+
+
+def test_exact_quantiles(spark):
+    xs = [float(x) for x in np.random.default_rng(1).integers(0, 40, 500)]
+    df = spark.createDataFrame([(x,) for x in xs] + [(None,)], "x double")
+    assert np.allclose(T.exact_quantiles(df, F.col("x"), [0, 0.05, 0.33, 0.5, 0.999, 1]), np.quantile(xs, [0, 0.05, 0.33, 0.5, 0.999, 1]))
+    assert T.exact_quantiles(df.limit(0), F.col("x"), [0.5]) == []
+    assert T.iqr_outliers(df.limit(0), "x").first()["n"] == 0
+
+
+def test_justifications_block_and_dictionary(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, None, 1)], "id int, s string, c int")
+    ledger = A.missingness_ledger(df, "v", {"c": {"mechanism": "MCAR", "justification": "by design"}}, identity=["id"])
+    assert len(ledger.columns) == 17 and ledger.where("mechanism_justification is null or recommendation_justification is null").count() == 0
+    assert ledger.where("column_name = 'c'").first()["mechanism_justification"] == "by design"
+    block = A.audit_block({"v": ledger})["views"]["v"]
+    assert block["total_rows"] == 3 and block["columns_audited"] == 3 == len(block["ledger"])
+    known = spark.createDataFrame([("a",), ("z",), (None,), ("a",)], "k string")
+    assert tuple(A.dictionary_match(df, "s", known, "k").first()) == (3, 1, 1, 1, 1)
+    assert tuple(A.dictionary_match(df.limit(0), "s", known, "k").first()) == (0, 0, 0, 0, 2)
+
+
+def test_render_never_cuts(spark):
+    df = spark.range(1500)
+    assert len(json.loads(sinks.render(df, "json"))) == 1500
+    with pytest.raises(ValueError):
+        sinks.render(df, "json", most=1499)

@@ -76,7 +76,9 @@ def test_samples_repeat(spark):
     assert rows(R.hash_sample(df, ["id"], 10)) == rows(R.hash_sample(df.repartition(7), ["id"], 10))
     picked = R.entity_sample(df, "e", 0.3)
     assert picked.count() == 20 * picked.select("e").distinct().count()
-    assert R.stratified_groups(df, "e", 20, strata=4).count() <= 20
+    assert R.stratified_groups(df, "e", 20, strata=4).select("e").distinct().count() == 20
+    everyone = df.select("e").distinct().count()
+    assert R.stratified_groups(df, "e", 10_000, strata=4).count() == everyone
     assert rows(R.table_fingerprint(df)) == rows(R.table_fingerprint(df.orderBy(F.desc("id"))))
 
 
