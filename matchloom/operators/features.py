@@ -6,6 +6,8 @@ microseconds that end one before the row's own, never row counts.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -160,3 +162,109 @@ def replay_ratings(results: pd.DataFrame, k: float, start: float, scale: float =
         for p, c in change.items():
             rating[p] = rating.get(p, start) + c
     return rating
+
+
+def _volatility(sigma: np.ndarray, phi: np.ndarray, v: np.ndarray, delta: np.ndarray, tau: float) -> np.ndarray:
+    """Glicko-2's new volatilities: the root of its log-volatility condition, bracketed and
+    then halved down to the last digit."""
+    a = np.log(sigma**2)
+
+    def f(x: np.ndarray) -> np.ndarray:
+        e = np.exp(x)
+        return e * (delta**2 - phi**2 - v - e) / (2 * (phi**2 + v + e) ** 2) - (x - a) / tau**2
+
+    over = delta**2 - phi**2 - v
+    high = np.where(over > 0, np.log(np.where(over > 0, over, 1.0)), a)
+    low = np.minimum(a, high)
+    high = np.maximum(a, high)
+    step = 0
+    while (f(low) < 0).any():
+        low = np.where(f(low) < 0, low - tau * 2**step, low)
+        step += 1
+    for _ in range(80):
+        middle = (low + high) / 2
+        up = f(middle) > 0
+        low, high = np.where(up, middle, low), np.where(up, high, middle)
+    return np.exp((low + high) / 4)
+
+
+def glicko2_ratings(matches: DataFrame, winner: str, loser: str, period: str, tau: float, start: tuple[float, float, float] = (1500.0, 350.0, 0.06), initial: DataFrame | None = None) -> DataFrame:
+    """entity, period, rating, deviation, volatility, n: Glicko-2 ratings, updated once per
+    rating period, of those who played in it.
+
+    All results of a period count against the ratings from its beginning, so a period is
+    two joins and one aggregation; the periods, which are few, are gone through in order.
+    Who doesn't play keeps rating and volatility, and its deviation grows. initial:
+    entity, rating, deviation, volatility of known players; others begin at `start`.
+    Null players and periods, and players against themselves, don't count; repeated
+    results count as often as they occur; no results give an empty table."""
+    scale, centre = 173.7178, 1500.0  # fixed values of the method's internal scale
+    spark = matches.sparkSession
+    who, when = matches.schema[winner].dataType.simpleString(), matches.schema[period].dataType.simpleString()
+    m = materialise(matches.select(F.col(winner).alias("w"), F.col(loser).alias("l"), F.col(period).alias("p")).where("w is not null and l is not null and p is not null and w <> l").groupBy("p", "w", "l").agg(F.count("*").alias("n")), "results")
+    columns = ["rating", "deviation", "volatility"]
+    state = initial.select("entity", *columns) if initial is not None else spark.createDataFrame([], f"entity {who}, rating double, deviation double, volatility double")
+    state, out = materialise(state, "ratings"), None
+
+    def update(batches):
+        for b in batches:
+            mu, phi, sigma = (b["rating"].to_numpy() - centre) / scale, b["deviation"].to_numpy() / scale, b["volatility"].to_numpy().copy()
+            played = b["n"].to_numpy() > 0
+            if played.any():
+                v = 1 / b["information"].to_numpy()[played]
+                gain = b["gain"].to_numpy()[played]
+                sigma[played] = _volatility(sigma[played], phi[played], v, v * gain, tau)
+            phi = np.sqrt(phi**2 + sigma**2)
+            if played.any():
+                phi[played] = 1 / np.sqrt(1 / phi[played] ** 2 + 1 / v)
+                mu[played] = mu[played] + phi[played] ** 2 * gain
+            yield b[["entity", "n"]].assign(rating=mu * scale + centre, deviation=phi * scale, volatility=sigma)[["entity", "rating", "deviation", "volatility", "n"]]
+
+    for p in sorted(r["p"] for r in m.select("p").distinct().collect()):
+        now = m.where(F.col("p") == F.lit(p))
+        sides = now.select(F.col("w").alias("a"), F.col("l").alias("b"), "n", F.lit(1.0).alias("s")).unionByName(now.select(F.col("l").alias("a"), F.col("w").alias("b"), "n", F.lit(0.0).alias("s")))
+        side = lambda k: state.select(F.col("entity").alias(k), F.col("rating").alias(f"r{k}"), F.col("deviation").alias(f"d{k}"))
+        sides = sides.join(side("a"), "a", "left").join(side("b"), "b", "left").fillna({"ra": start[0], "rb": start[0], "da": start[1], "db": start[1]})
+        g = 1 / F.sqrt(1 + 3 * F.pow(F.col("db") / scale, F.lit(2)) / math.pi**2)
+        e = 1 / (1 + F.exp(-g * (F.col("ra") - F.col("rb")) / scale))
+        sums = sides.groupBy(F.col("a").alias("entity")).agg(F.sum(F.col("n") * g * g * e * (1 - e)).alias("information"), F.sum(F.col("n") * g * (F.col("s") - e)).alias("gain"), F.sum("n").alias("n"))
+        both = state.join(sums, "entity", "full").fillna(dict(zip(columns, start))).fillna(0, ["n", "information", "gain"])
+        new = both.select("entity", *columns, "information", "gain", "n").mapInPandas(update, f"entity {who}, rating double, deviation double, volatility double, n bigint")
+        new = materialise(new, "ratings")
+        part = new.where("n > 0").withColumn("period", F.lit(p))
+        out = part if out is None else out.unionByName(part)
+        state = new.drop("n")
+    if out is None:
+        return spark.createDataFrame([], f"entity {who}, rating double, deviation double, volatility double, n bigint, period {when}")
+    return out
+
+
+def snapshot_check(snapshot: DataFrame, events: DataFrame, keys: list[str], loop: str, cutoff: Column, n_events: str) -> DataFrame:
+    """One row: n_rows, n_leaks: snapshots whose stated number of events isn't that of the
+    events at or before the cutoff, as when a whole replay was aggregated."""
+    have = events.where(F.col(loop) <= cutoff).groupBy(*keys).agg(F.count("*").alias("__n"))
+    j = snapshot.join(have, keys, "left")
+    return j.agg(F.count("*").alias("n_rows"), F.count(F.when(F.col(n_events) != F.coalesce("__n", F.lit(0)), 1)).alias("n_leaks"))
+
+
+def role_check(columns: list[str], roles: dict[str, str], allowed: list[str]) -> list[tuple[str, str]]:
+    """(column, role) of the features that have a role which no feature may have: the
+    target, what is known after the match only, a rating after it, a label of the source
+    that isn't declared a control. A column without a role isn't allowed either."""
+    return [(c, roles.get(c, "undeclared")) for c in columns if roles.get(c, "undeclared") not in allowed]
+
+
+def fitted_check(fitted: DataFrame, train: DataFrame, key: str, stated: str, value: Column, tolerance: float = 1e-9) -> DataFrame:
+    """One row: n_keys, n_leaks: keys whose stated statistic isn't the mean of `value` over
+    the training rows alone, as when an encoder was fitted before the split."""
+    own = train.groupBy(F.col(key).alias("__k")).agg(F.avg(value).alias("__v"))
+    j = fitted.join(own, F.col(key).eqNullSafe(F.col("__k")), "left")
+    same = (F.abs(F.col(stated) - F.col("__v")) <= tolerance) | (F.col(stated).isNull() & F.col("__v").isNull())
+    return j.agg(F.count("*").alias("n_keys"), F.count(F.when(~F.coalesce(same, F.lit(False)), 1)).alias("n_leaks"))
+
+
+def slot_check(view: DataFrame, slot: str, won: str, deviations: float = 4.0) -> DataFrame:
+    """One row: n, share_won of slot 0, leaks: whether it is further from a half than so
+    many standard deviations, as when the slot tells who won."""
+    w = view.where(F.col(slot) == 0).agg(F.count(won).alias("n"), F.avg(F.col(won).cast("int")).alias("share_won"))
+    return w.withColumn("leaks", F.coalesce(F.abs(F.col("share_won") - 0.5) > deviations * 0.5 / F.sqrt("n"), F.lit(False)))

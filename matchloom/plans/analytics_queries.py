@@ -572,3 +572,33 @@ def events_lifecycle(t: Tables):
     e = t.tracker_events_raw.where("evtTypeName in ('UnitBorn', 'UnitDied')").where(F.try_parse_json("event_data").isNotNull()).withColumn("tag", F.get_json_object("event_data", "$.unit.tag")).where("tag is not null")
     g = E.lifecycle(e, ["filename", "tag"], "loop", F.col("evtTypeName") == "UnitBorn", F.col("evtTypeName") == "UnitDied")
     return g.groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query()
+def features_glicko2(t: Tables):
+    """Glicko-2 by quarter; sequential, so it is tested against a plain loop instead of SQL."""
+    m = _dated(t).where("won").withColumn("period", S.quarter_label(F.col("at")))
+    return X.glicko2_ratings(m, "player_id", "opponent", "period", tau=0.5)
+
+
+@query("""select count(*) as n_rows, count(*) filter (where n <> upto) as n_leaks from (select filename, count(*) as n, count(*) filter (where loop <= 10000) as upto from tracker_events_raw group by 1)""")
+def features_snapshot_check(t: Tables):
+    """Snapshots that count whole replays, against a cutoff."""
+    s = t.tracker_events_raw.groupBy("filename").agg(F.count("*").alias("n"))
+    return X.snapshot_check(s, t.tracker_events_raw, ["filename"], "loop", F.lit(10000), "n")
+
+
+@query("""with f as (select chosen_civ_or_race as k, avg(outcome_raw) as stated from matches_long_raw group by 1), o as (select chosen_civ_or_race as k, avg(outcome_raw) as own from matches_long_raw where leaderboard_raw = 3 group by 1)
+select count(*) as n_keys, count(*) filter (where not coalesce(abs(stated - own) <= 1e-9, false)) as n_leaks from f left join o on f.k is not distinct from o.k""")
+def features_fitted_check(t: Tables):
+    """Rates fitted on all rows where those of one leaderboard are the training rows."""
+    m = t.matches_long_raw
+    fitted = m.groupBy("chosen_civ_or_race").agg(F.avg("outcome_raw").alias("stated"))
+    return X.fitted_check(fitted, m.where("leaderboard_raw = 3"), "chosen_civ_or_race", "stated", F.col("outcome_raw"))
+
+
+@query(_VIEW + " select count(*) as n, round(avg(case when won then 1.0 else 0.0 end), 6) as share_won, abs(avg(case when won then 1.0 else 0.0 end) - 0.5) > 2 / sqrt(count(*)) as leaks from v where (player_id < opponent) <> won or won")
+def features_slot_check(t: Tables):
+    """A slot that favours the winner."""
+    v = _view(t).withColumn("slot", F.when(((F.col("player_id") < F.col("opponent")) != F.col("won")) | F.col("won"), 0).otherwise(1))
+    return X.slot_check(v, "slot", "won").withColumn("share_won", F.round("share_won", 6))

@@ -243,3 +243,27 @@ def test_render_never_cuts(spark):
     assert len(json.loads(sinks.render(df, "json"))) == 1500
     with pytest.raises(ValueError):
         sinks.render(df, "json", most=1499)
+
+
+def test_glicko2_published_example(spark):
+    """The worked example of the method's paper, and a period without matches."""
+    initial = spark.createDataFrame([("p", 1500.0, 200.0, 0.06), ("a", 1400.0, 30.0, 0.06), ("b", 1550.0, 100.0, 0.06), ("c", 1700.0, 300.0, 0.06)], "entity string, rating double, deviation double, volatility double")
+    played = [("p", "a", 1), ("b", "p", 1), ("c", "p", 1), ("x", "y", 2), ("b", "a", 3), (None, "p", 1), ("p", "p", 1)]
+    m = spark.createDataFrame(played, "w string, l string, period int")
+    got = {(r["entity"], r["period"]): r for r in X.glicko2_ratings(m, "w", "l", "period", tau=0.5, initial=initial).collect()}
+    r = got["p", 1]
+    assert (r["rating"], r["deviation"]) == (pytest.approx(1464.06, abs=0.02), pytest.approx(151.52, abs=0.02)) and r["volatility"] == pytest.approx(0.05999, abs=1e-5) and r["n"] == 3
+    assert set(got) == {("p", 1), ("a", 1), ("b", 1), ("c", 1), ("x", 2), ("y", 2), ("a", 3), ("b", 3)}
+    assert got["x", 2]["rating"] - 1500 == pytest.approx(1500 - got["y", 2]["rating"]) and got["x", 2]["rating"] > 1600
+    assert X.glicko2_ratings(m.limit(0), "w", "l", "period", tau=0.5).count() == 0
+
+
+def test_leakage_checks(spark):
+    roles = {"rating_pre": "pre_game", "new_rating": "post_game", "won": "target", "source": "control"}
+    assert X.role_check(["rating_pre", "new_rating", "source", "odd"], roles, ["pre_game", "control"]) == [("new_rating", "post_game"), ("odd", "undeclared")]
+    df = spark.createDataFrame([(i % 2, i % 4 < 2) for i in range(100)], "slot int, won boolean")
+    assert not X.slot_check(df, "slot", "won").first()["leaks"] and X.slot_check(df.where("won or slot = 1"), "slot", "won").first()["leaks"]
+    assert not X.slot_check(df.limit(0), "slot", "won").first()["leaks"]
+    train = spark.createDataFrame([("a", 1), ("a", 0), (None, 1)], "k string, y int")
+    fitted = spark.createDataFrame([("a", 0.5), (None, 1.0), ("b", None), ("c", 0.3)], "k string, rate double")
+    assert tuple(X.fitted_check(fitted, train, "k", "rate", F.col("y")).first()) == (4, 1)
