@@ -322,7 +322,10 @@ def link_accounts(accounts: DataFrame, forms: dict[str, str], account: str, nick
     fits several it says nothing, if none, it is a person of its own. An account goes by
     its most telling nicknames, then by the most frequent of these, then by name."""
     a = accounts.select(F.col(account).cast("string").alias("account"), F.col(nickname).alias("nickname")).where("account is not null and nickname is not null")
-    uses = materialise(name_readings(a.groupBy("account", "nickname").agg(F.count("*").alias("n")), forms), "readings")
+    # few bytes, much work: read in as many tasks as the session asks for
+    parts = int(accounts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = a.groupBy("account", "nickname").agg(F.count("*").alias("n")).repartition(parts, "account", "nickname")
+    uses = materialise(name_readings(a, forms), "readings")
     close = trie_join(uses.select(F.col("family").alias("name")))
     weigh = lambda df: df.groupBy("given", "family").agg(F.countDistinct("nickname").alias("spellings"), F.countDistinct("account").alias("bearers"))
     vague = lambda c: uses.where(c).select("initial", "family").distinct()
